@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ LONG_WORD = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII signs, which can also part words.
+_SIGN = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
@@ -52,7 +55,7 @@ def ship(spark: SparkSession) -> None:
 def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(text))
-    size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pyarrow.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, n in enumerate(size):
         if i > at and total + n > limit:
@@ -77,10 +80,11 @@ class Words:
     """The words (runs of other bytes than ASCII white space) of a column of texts, as arrays.
 
     `hash` has a 64-bit hash per word, `doc` its row, `first` the first word of each row (one more
-    entry than rows), `start` and `end` its bytes in `data`. Null is an empty text.
+    entry than rows), `start` and `end` its bytes in `data`. Null is an empty text. With `signs` ASCII
+    signs part words too.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = True):
+    def __init__(self, col: pa.Array, lower: bool = True, signs: bool = False):
         if not pa.types.is_string(col.type):
             col = col.cast(pa.string())
         n = len(col)
@@ -92,7 +96,7 @@ class Words:
         data = np.zeros(len(raw) + 8, np.uint8)
         data[: len(raw)] = _LOWER[raw] if lower else raw
         self.data, self.n_docs, self.at = data, n, at
-        solid = ~_SPACE[raw]
+        solid = ~(_SPACE | _SIGN if signs else _SPACE)[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[at] = True
         begins, ends = solid.copy(), solid.copy()

@@ -6,35 +6,84 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dzvin.llm import decontam, packing, quality_lr, rules, secrets, sharding, simhash, sst, toxicity, warc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dzvin.llm.sharding import assign_shards
+    found = sharding.assign_shards(_table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-    return assign_shards(_table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("spans")).alias("spans"))
 
-def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dzvin.llm.simhash import near_duplicates
 
-    found = near_duplicates(_table(spark, sf_dir, "documents"))
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(_table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
+    return found.withColumn("headers", headers)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", label)
+    return labels.where(quality_lr.fold(F.col("doc_id"), folds) != held_out)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = quality_lr.fit(docs, _labelled(spark, sf_dir, "quality", 3, 1))
+    scored = quality_lr.score(docs.select("doc_id", "text"), weights, "score")
+    held_out = F.coalesce(quality_lr.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _labelled(spark, sf_dir, "toxic", 4, 2))
+    held_out = F.coalesce(quality_lr.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *(F.col(f"q.{n}") for n in names), "base_failed", "kept")
+
+
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dzvin.llm.sst import token_tables
-
-    return token_tables(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return sst.token_tables(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_lexical_packing": op8_lexical_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_tables": op10_token_tables,
 }
 
-#: DuckDB's crc32 is not there in every version, so op1 is tested against a brute-force version instead.
 ORACLE_SQL: dict[str, str] = {}

@@ -208,3 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     named = cut_lineage(labelled.join(classes, "label").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, all columns as they are: that with the smallest id.
+
+    Where several rows have that id and fingerprint, one of them stays. Of components with null ids alone
+    one row of each fingerprint stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, distance)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    first = first.unionByName(found.where("component_id is null").select("doc_id", "fp").distinct())
+    n = len(docs.columns)
+    key = f"c{docs.columns.index(id_col)}"
+    printed = add_fingerprint(docs.toDF(*(f"c{k}" for k in range(n))), f"c{docs.columns.index(text_col)}", "f", words)
+    kept = printed.join(first.toDF("i", "g"), (F.col("f") == F.col("g")) & F.col(key).eqNullSafe(F.col("i")), "left_semi")
+    return kept.dropDuplicates(["f", key]).drop("f").toDF(*docs.columns)
