@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dzvin.functions import alphabet as A
 
@@ -17,13 +18,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd_any(s: pd.Series) -> pd.Series:
     """NFD of any text; `nfd` is enough for text in the alphabet."""
     return s.str.normalize("NFD")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_any(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 

@@ -90,4 +90,4 @@ def build_lexicon(rows: DataFrame, defaults: DataFrame | None = None, readings:
 def sendable(lexicon: DataFrame) -> DataFrame:
     """The lexicon with a broadcast hint if the plan's estimate of its size is within bounds."""
     size = lexicon._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(lexicon) if int(size.toString()) <= SEND_BYTES else lexicon
+    return F.broadcast(lexicon) if int(str(size)) <= SEND_BYTES else lexicon
