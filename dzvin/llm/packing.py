@@ -1,8 +1,8 @@
 """Packing into fixed windows by lexical retrieval.
 
 Documents are laid into shards of bounded size that hold alike ones: ordered by the smallest hash among
-a document's words that at most a twentieth of all documents have (a MinHash of its rare words), with a row number
-behind it, cut into ranges, and ranges into shards. A large group of copies so fills many shards.
+a document's words that at most a twentieth of all documents have (a MinHash of its rare words), with a hash of the
+row behind it, cut into ranges, and ranges into shards. A large group of copies so fills many shards.
 
 Each shard has a BM25 inverted index over its documents, weighted by document frequencies of the whole
 corpus. A seed document opens a window; while the window has room, the unused documents that score best
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dzvin.llm.common import U64, Words, ship, steps
+from dzvin.llm.common import U64, Words, mix, ship, steps
 from dzvin.llm.tokens import END_ID, encoder
 
 WINDOW = 2048
-SHARD_DOCS, SHARD_BYTES = 2048, 16 << 20
+SHARD_DOCS, SHARD_BYTES = 1024, 8 << 20
+#: Documents of the sample that sets the bounds of the ranges, for each range.
+SAMPLE = 100
 K1, B = 1.2, 0.75
 #: Document frequencies are kept in hashed slots.
 DF_BITS = 18
@@ -34,14 +36,6 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - DF_BITS)).astype(np.int64)
 
 
-def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, word hash) of a column and their counts, by document."""
-    order = np.lexsort((w.hash, w.doc))
-    h, d = w.hash[order], w.doc[order]
-    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
-    return d[new], h[new], np.diff(np.r_[new, len(h)])
-
-
 def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency by slot, number of documents and their mean number of words, over all rows of (t)."""
 
@@ -69,24 +63,25 @@ class Index:
     """BM25 postings of a shard; words that over half the corpus have weigh nothing."""
 
     def __init__(self, w: Words, df: np.ndarray, n_docs: int, mean: float):
-        doc, h, tf = _terms(w)
-        n = df[_slots(h)]
-        idf = np.log((n_docs - n + 0.5) / (n + 0.5))
-        use = idf > 0
-        doc, h, tf, idf = doc[use], h[use], tf[use], idf[use]
+        idf = np.log((n_docs - df + 0.5) / (df + 0.5))
+        slot = _slots(w.hash)
+        use = np.flatnonzero(idf[slot] > 0)
+        words, term = np.unique(w.hash[use], return_inverse=True)
+        # Postings by word and document; repeats of a pair are its frequency.
+        key = np.sort(term * w.n_docs + w.doc[use])
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        tf, key = np.diff(np.r_[new, len(key)]), key[new]
+        term, doc = key // max(1, w.n_docs), key % max(1, w.n_docs)
+        many = np.bincount(term, minlength=len(words))[term] > 1
+        term, doc, tf = term[many], doc[many], tf[many]
         size = np.diff(w.first)[doc] / max(mean, 1e-9)
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
-        _, term = np.unique(h, return_inverse=True)
-        many = np.bincount(term)[term] > 1 if len(term) else np.zeros(0, bool)
-        doc, term, weight = doc[many], term[many], weight[many]
-        self.n = w.n_docs
-        self.of_doc = np.searchsorted(doc, np.arange(w.n_docs + 1))
-        self.terms = term
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        sorted_terms = term[order]
-        self.begin = np.searchsorted(sorted_terms, term)
-        self.size = np.searchsorted(sorted_terms, term, "right") - self.begin
+        self.weight = idf[_slots(words)][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
+        self.doc, self.n = doc, w.n_docs
+        count = np.bincount(term, minlength=len(words))
+        first = np.cumsum(count) - count
+        by_doc = np.argsort(doc, kind="stable")
+        self.begin, self.size = first[term[by_doc]], count[term[by_doc]]
+        self.of_doc = np.searchsorted(doc[by_doc], np.arange(w.n_docs + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a word with the seed, best first, ties by place."""
@@ -144,19 +139,35 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     sent = spark.sparkContext.broadcast((df, n_docs, mean))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(col: pa.Array, row: np.ndarray) -> np.ndarray:
+        """40 bits of the MinHash over rare words, then 23 of the row, so that equal ones are spread."""
         df, n, _ = sent.value
+        w = Words(col)
+        h = np.where(df[_slots(w.hash)] * 20 <= n, w.hash, U64((1 << 64) - 1))
+        low = np.full(w.n_docs, (1 << 64) - 1, U64)
+        np.minimum.at(low, w.doc, h)
+        return (low >> U64(24) << U64(23) | mix(row.astype(U64)) >> U64(41)).astype(np.int64)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in steps(b, "t"):
-                w = Words(part.column(1))
-                h = np.where(df[_slots(w.hash)] * 20 <= n, w.hash, U64((1 << 64) - 1))
-                low = np.full(w.n_docs, (1 << 64) - 1, U64)
-                np.minimum.at(low, w.doc, h)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array((low >> U64(1)).astype(np.int64))], ["doc_id", "t", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys(part.column(1), part.column(2).to_numpy()))], ["k"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(place, f"doc_id {kind}, t string, low long").withColumn("row_no", F.monotonically_increasing_id())
-    placed = placed.repartitionByRange(n, "low", "row_no").sortWithinPartitions("low", "row_no").withColumn("part", F.spark_partition_id()).select("doc_id", "t", "part")
+    numbered = rows.withColumn("row_no", F.monotonically_increasing_id())
+    # A bounded sample sets where the ranges are cut; it bears on their sizes alone.
+    some = numbered.sample(min(1.0, SAMPLE * n / max(1, n_docs)), seed=7).mapInArrow(sampled, "k long").toArrow()["k"].to_numpy()
+    bounds = np.sort(some)[(np.arange(1, n) * len(some)) // n] if len(some) else np.zeros(0, np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in steps(b, "t"):
+                k = keys(part.column(1), part.column(2).to_numpy())
+                to = np.searchsorted(bounds, k, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(k), pa.array(to)], ["doc_id", "t", "k", "part"])
+
+    placed = numbered.mapInArrow(place, f"doc_id {kind}, t string, k long, part int")
+    placed = placed.repartitionById(n, "part").sortWithinPartitions("k").select("doc_id", "t", "part")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

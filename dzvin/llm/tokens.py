@@ -1,14 +1,14 @@
-"""Whole-text token ids, by a cache of the pieces between white space.
+"""Whole-text token ids.
 
-Byte-pair encoders treat the pieces that their pre-tokeniser cuts one by one, so the ids of a text are
-the ids of its pieces in order. Pieces repeat; each worker keeps a bounded cache of their ids as bytes.
-A text whose white space does not allow the cut is encoded whole.
+The ids of a text are those of the pieces that its pre-tokeniser cuts, in order. For the vocabulary that
+drops white space pieces repeat enough that each worker keeps a bounded cache of their ids as bytes.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +21,6 @@ END_ID = 1
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
-class _Cut(Exception):
-    """The text can't be cut here."""
-
-
 class _Cache(dict):
     """A dict that computes what it misses and, when full, keeps what was used since the last time."""
 
@@ -58,7 +54,7 @@ class WordEncoder:
         self.pieces = _Cache(self._piece)
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array("HI"[self.dtype.itemsize // 4], ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         mapped = run.encode().decode("latin-1").translate(self.alphabet)
@@ -76,7 +72,11 @@ class WordEncoder:
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary that keeps white space (tokenizers file), found by rank merging."""
+    """Ids of a byte-level vocabulary that keeps white space (a tokenizers file), found by rank merging.
+
+    The merges of such a file are in order of their ids, so ranks give the same ids; whole texts are
+    faster by ranks than pieces by a cache.
+    """
 
     def __init__(self, path: str):
         from public_tokenizers import PATTERN
@@ -86,35 +86,12 @@ class ByteEncoder:
         back = {c: b for b, c in byte_alphabet().items()}
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.whole = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ids = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
-        self.pieces, self.heads = _Cache(self._piece), _Cache(self._head)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode_ordinary(text), self.dtype).tobytes()
-
-    def _head(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if not text or text[-1].isspace():
-            raise _Cut
-        return self._ids(text)
-
-    def _piece(self, piece: bytes) -> bytes:
-        """What followed a space, or a line feed with what follows it."""
-        text = piece.decode()
-        inner = text.removeprefix("\n")
-        if not inner or inner[0].isspace() or inner[-1].isspace():
-            raise _Cut
-        return self._ids(text if inner is not text else f" {text}")
+        self.code = "HI"[self.dtype.itemsize // 4]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.encode().replace(b"\n", b" \n").split(b" ")
-        try:
-            return self.heads[head] + b"".join(map(self.pieces.__getitem__, rest))
-        except _Cut:
-            return self._ids(text)
+        return array(self.code, self.ids(text or "")).tobytes()
 
 
 @lru_cache(maxsize=4)
