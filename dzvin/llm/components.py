@@ -11,9 +11,10 @@ from dzvin.llm.common import cut_lineage
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) longs -> (node, label): the smallest node reachable. Nodes without an edge are not listed.
 
-    Each round hooks every node to its smallest neighbour, halves the paths twice and contracts the
-    edges; at least half of the touched components go each round. Nulls are dropped; loops and repeated
-    edges do no harm.
+    Each round hooks every node to its smallest neighbour, doubles the pointers until they reach the
+    roots and contracts the edges onto them; at least half of the touched nodes go each round, and a path
+    takes as many doublings as its length has binary digits. Nulls are dropped; loops and repeated edges
+    do no harm.
     """
     left = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
@@ -21,10 +22,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         parent = cut_lineage(parent)
-        for _ in range(2):
+        while True:
             top = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = parent.join(top, "up").select("node", F.col("top").alias("up"))
-        parent = cut_lineage(parent)
+            doubled = cut_lineage(parent.join(top, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
+            parent = doubled.select("node", "up")
+            if doubled.where("moved").isEmpty():
+                break
         moved = parent if labels is None else labels.join(parent.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("up"))
         labels = cut_lineage(moved.withColumnRenamed("up", "label"))
         a = left.join(parent.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
