@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once; inside a lambda an expression is computed at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def nfd_any(s: pd.Series) -> pd.Series:
     """NFD of any text; `nfd` is enough for text in the alphabet."""
@@ -111,29 +116,38 @@ def wanted_places(signature: Column | str) -> Column:
 
 def apply_signature(surface: Column | str, signature: Column | str) -> Column:
     """The word with its acutes; null where the signature is malformed or does not fit, or one is there."""
-    w, wanted = _col(surface), wanted_places(signature)
-    u = units(w)
+    w, s = _col(surface), _col(signature)
     vowel, parts = f"[{A.COUNTED}]{A.MARKS}*$", f"[{A.BREAK_CLASS}]$"
 
-    def place(x: Column, i: Column) -> Column:
-        before = F.slice(u, F.lit(1), i)
-        segment = F.size(F.filter(before, lambda y: y.rlike(parts)))
-        # Vowels since the last break: all before, less those up to it.
-        since = F.filter(F.transform(before, lambda y, j: F.when(y.rlike(vowel) & ~F.exists(F.slice(before, j + 2, F.greatest(i - j - 1, F.lit(0))), lambda z: z.rlike(parts)), 1)), lambda y: y.isNotNull())
-        hit = x.rlike(vowel) & F.array_contains(wanted, F.concat_ws(":", segment, F.size(since)))
-        return F.struct(F.concat(x, F.when(hit, A.ACUTE).otherwise("")).alias("x"), hit.alias("hit"))
+    def place(kinds: Column, wanted: Column):
+        def one(x: Column, i: Column) -> Column:
+            """The unit with an acute where it is wanted. Vowels count from the last break on."""
+            before = F.substring(kinds, F.lit(1), i)
+            segment = i - F.length(F.replace(before, F.lit("b"), F.lit("")))
+            since = F.length(F.replace(F.substring_index(before, "b", -1), F.lit("c"), F.lit("")))
+            hit = (F.substring(kinds, i + 1, F.lit(1)) == "v") & F.array_contains(wanted, F.concat_ws(":", segment, since))
+            return F.struct(F.concat(x, F.when(hit, A.ACUTE).otherwise("")).alias("x"), hit.alias("hit"))
+
+        return one
+
+    def fitted(made: Column, wanted: Column) -> Column:
+        return F.when(F.size(F.filter(made, lambda m: m["hit"])) == F.size(wanted), F.array_join(F.transform(made, lambda m: m["x"]), ""))
 
-    made = F.transform(u, place)
-    fits = F.size(F.filter(made, lambda m: m["hit"])) == F.size(wanted)
-    return F.when(~w.contains(A.ACUTE) & (F.length(_col(signature)) > 0) & fits, F.array_join(F.transform(made, lambda m: m["x"]), ""))
+    # A letter for each unit: it ends in a vowel, a break, or neither.
+    kinds = lambda u: F.array_join(F.transform(u, lambda x: F.when(x.rlike(vowel), "v").when(x.rlike(parts), "b").otherwise("c")), "")
+    made = let(F.struct(units(w).alias("u"), wanted_places(s).alias("wanted")), lambda t: let(F.struct(F.transform(t["u"], lambda x: x).alias("u"), kinds(t["u"]).alias("k"), t["wanted"].alias("wanted")), lambda t: let(F.transform(t["u"], place(t["k"], t["wanted"])), lambda made: fitted(made, t["wanted"]))))
+    return F.when(~w.contains(A.ACUTE) & (F.length(s) > 0), made)
 
 
 def plain_signature(surface: Column | str, ordinal: Column) -> Column:
     """`apply_signature` for words of one segment and a single ordinal, by one cut instead of arrays of arrays."""
-    u = units(surface)
-    head = F.array_join(F.slice(u, F.lit(1), ordinal + 1), "")
-    fits = F.coalesce(F.get(u, ordinal).rlike(f"[{A.COUNTED}]{A.MARKS}*$"), F.lit(False))
-    return F.when(fits, F.concat(head, F.lit(A.ACUTE), F.substring(_col(surface), F.length(head) + 1, F.length(_col(surface)))))
+    w = _col(surface)
+
+    def put(u: Column) -> Column:
+        fits = F.coalesce(F.get(u, ordinal).rlike(f"[{A.COUNTED}]{A.MARKS}*$"), F.lit(False))
+        return F.when(fits, F.concat(F.array_join(F.slice(u, F.lit(1), ordinal + 1), ""), F.lit(A.ACUTE), F.array_join(F.slice(u, ordinal + 2, F.greatest(F.size(u) - ordinal - 1, F.lit(0))), "")))
+
+    return let(units(w), put)
 
 
 def render(surface: Column | str, signature: Column | str) -> Column:
@@ -165,14 +179,18 @@ def opens_sentence(gap: Column, first: Column) -> Column:
 
 def by_capitalisation(candidates: Column, proper: Column, word: Column, initial: Column) -> Column:
     """Candidates narrowed or put in order by case: `proper` maps a signature to whether it is a name's."""
-    is_name = lambda c: F.coalesce(F.get(F.map_values(F.map_filter(proper, lambda k, v: k == c)), F.lit(0)), F.lit(False))
-    names, common = F.filter(candidates, is_name), F.filter(candidates, lambda c: ~is_name(c))
     head = F.substring(word, 1, 1)
     capital = (head == F.upper(head)) & (head != F.lower(head))
-    preferred = F.when(~capital, common).when(~initial, names)
-    order = F.when(F.size(preferred) == 1, preferred).otherwise(F.concat(preferred, F.array_except(candidates, preferred)))
-    mixed = (F.size(candidates) >= 2) & (F.length(word) > 0) & (F.size(names) > 0) & (F.size(common) > 0)
-    return F.when(mixed & preferred.isNotNull(), order).otherwise(candidates)
+
+    def ordered(x: Column) -> Column:
+        names, common = x["names"], x["common"]
+        preferred = F.when(~capital, common).when(~initial, names)
+        order = F.when(F.size(preferred) == 1, preferred).otherwise(F.concat(preferred, F.array_except(candidates, preferred)))
+        return F.when((F.size(names) > 0) & (F.size(common) > 0) & preferred.isNotNull(), order).otherwise(candidates)
+
+    named = F.map_keys(F.map_filter(proper, lambda k, v: v))
+    split = lambda n: F.struct(F.array_intersect(candidates, n).alias("names"), F.array_except(candidates, n).alias("common"))
+    return F.when((F.size(candidates) >= 2) & (F.length(word) > 0) & proper.isNotNull(), let(named, lambda n: let(split(n), ordered))).otherwise(candidates)
 
 
 def softmax(scores: Column) -> Column:

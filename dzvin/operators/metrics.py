@@ -57,6 +57,6 @@ def gold_targets(lines: DataFrame, limit: int | None = None) -> DataFrame:
     t = t.where(~F.col("text").startswith("#") & (F.trim("text") != "") & F.col("form").isNotNull()).withColumn("plain", F.lower(strip_accents("text")))
     letter = "[\\p{L}\\p{Nl}\\p{No}\\p{Nd}_]"
     piece = F.concat(F.lit(f"^((?s:.*?)(?<!{letter}))"), F.lit("\\Q"), F.col("form"), F.lit(f"\\E(?!{letter})"))
-    start = F.when(F.col("plain").rlike(piece), F.length(F.call_function("regexp_extract", F.col("plain"), piece, F.lit(1))))
+    start = F.when(F.regexp_like("plain", piece), F.length(F.call_function("regexp_extract", F.col("plain"), piece, F.lit(1))))
     out = t.select("doc_id", "line", "form", start.alias("start"), (start + F.length("form")).alias("end")).where("start is not null")
     return out if limit is None else out.orderBy("doc_id", "line").limit(limit)

@@ -1,7 +1,9 @@
 """The decision tiers: from words to marked text.
 
 Each tier is a step over the token table and may overwrite what earlier ones decided. The table is
-partitioned by document once, for the neighbour rules; the lexicon is sent to executors when small.
+partitioned by document once, for the neighbour rules; the lexicon is sent to executors when small. What
+depends on a word alone and needs other words (compounds, suffixes) is made once for each distinct unknown
+word and joined, so the token table is never joined to itself.
 """
 
 from __future__ import annotations
@@ -53,15 +55,15 @@ def prepositional_shift(tokens: DataFrame) -> DataFrame:
     return _decide(tokens.withColumn("near", near), F.col("near"), T.render("word", F.lit("0")), "prepositional").drop("near")
 
 
-def compound(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tier 5: unknown words with `-` take the first candidate of each part that is known."""
-    asked = tokens.where((F.col("status") == "not_found") & F.col("word").contains("-")).select("word").distinct()
-    parts = asked.select("word", F.posexplode(F.split("word", "-", -1)).alias("at", "part")).withColumn("key", T.lookup_key("part"))
+def compound_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word) -> (word, compound): words with `-`, with the first candidate of each part that is known. Words
+    without a known part are left out.
+    """
+    parts = words.where(F.col("word").contains("-")).select("word", F.posexplode(F.split("word", "-", -1)).alias("at", "part")).withColumn("key", T.lookup_key("part"))
     known = parts.join(sendable(lexicon.select(F.col("form").alias("key"), F.get("candidates", F.lit(0)).alias("sig"))), "key", "left")
     made = known.withColumn("made", T.apply_signature("part", "sig"))
-    whole = made.groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("made", "part").alias("x")))), lambda s: s["x"]), "-").alias("compound"), F.count("made").alias("n"))
-    joined = tokens.join(whole.where("n > 0").drop("n"), "word", "left")
-    return _decide(joined, F.col("status") == "not_found", F.col("compound"), "compound").drop("compound")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("made", "part").alias("x")))), lambda s: s["x"]), "-")
+    return made.groupBy("word").agg(whole.alias("compound"), F.count("made").alias("n")).where("n > 0").drop("n")
 
 
 def longest_suffix(words: DataFrame, table: DataFrame) -> DataFrame:
@@ -74,11 +76,27 @@ def longest_suffix(words: DataFrame, table: DataFrame) -> DataFrame:
     return hits.groupBy("word").agg(F.max_by(F.col("vowels") - 1 - F.col("from_end"), "n").cast("string").alias("sig"))
 
 
-def suffix(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """Tier 6: unknown words by analogy of their longest known suffix."""
-    asked = tokens.where("status = 'not_found'").select("word").distinct()
-    made = longest_suffix(asked, table).withColumn("by_suffix", T.render("word", "sig")).select("word", "by_suffix")
-    return _decide(tokens.join(made, "word", "left"), F.col("status") == "not_found", F.col("by_suffix"), "suffix").drop("by_suffix")
+def unknown_words(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """(word) -> (word, compound, by_suffix): tiers 5 and 6 for distinct words that the lexicon lacks."""
+    keyed = words.where(~F.col("word").contains(A.ACUTE) & (T.vowel_count("word") > 0)).withColumn("key", T.lookup_key("word"))
+    known = lexicon.where(F.size("candidates") > 0).select(F.col("form").alias("key"))
+    lost = keyed.join(sendable(known), "key", "left_anti").select("word")
+    out = lost.join(compound_words(lost, lexicon), "word", "left")
+    if suffixes is None:
+        return out.withColumn("by_suffix", F.lit(None).cast("string"))
+    made = longest_suffix(lost, suffixes).select("word", T.render("word", "sig").alias("by_suffix"))
+    return out.join(made, "word", "left")
+
+
+def fall_back(tokens: DataFrame) -> DataFrame:
+    """Tiers 5 to 7 for tokens with the columns of `unknown_words`."""
+    lost = F.col("status") == "not_found"
+    by_place_ = F.when(T.vowel_count("word") >= 2, T.apply_signature("word", positional_signature("word")))
+    made = tokens.withColumn("default", F.when(lost & F.col("compound").isNull() & F.col("by_suffix").isNull(), by_place_))
+    status = F.when(F.col("compound").isNotNull(), "compound").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("default").isNotNull(), "default_position")
+    status = F.when(lost, F.coalesce(status, F.lit("not_found"))).otherwise(F.col("status"))
+    output = F.when(lost, F.coalesce("compound", "by_suffix", "default", "output")).otherwise(F.col("output"))
+    return made.withColumn("output", output).withColumn("status", status).drop("compound", "by_suffix", "default")
 
 
 def positional_signature(word: Column | str) -> Column:
@@ -89,12 +107,6 @@ def positional_signature(word: Column | str) -> Column:
     return F.concat_ws(":", last, F.greatest(F.lit(0), F.get(counts, last) - 2))
 
 
-def positional_default(tokens: DataFrame) -> DataFrame:
-    """Tier 7: unknown words with two vowels or more."""
-    asked = (F.col("status") == "not_found") & (T.vowel_count("word") >= 2)
-    return _decide(tokens, asked, T.apply_signature("word", positional_signature("word")), "default_position")
-
-
 def dictionary_default(tokens: DataFrame) -> DataFrame:
     """Tier 9: what is still undecided takes its first candidate."""
     open_ = F.col("status").isin("ambiguous", "model_ineligible") & (F.size("candidates") > 0)
@@ -144,10 +156,8 @@ def mark_tokens(
     if morphology is not None:
         tokens = morphology(tokens)
     tokens = prepositional_shift(tokens)
-    tokens = compound(tokens, lexicon)
-    if suffixes is not None:
-        tokens = suffix(tokens, suffixes)
-    tokens = positional_default(tokens)
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(A.WORD), F.lit(0))).alias("word")).distinct()
+    tokens = fall_back(tokens.join(unknown_words(words, lexicon, suffixes), "word", "left"))
     tokens = apply_choices(tokens, choices, ["ambiguous", "model_ineligible", "stressed"], "token_model")
     if on_ambiguity == "default":
         tokens = dictionary_default(tokens)

@@ -225,8 +225,7 @@ def compound_fallback(spark, sf_dir):
     nxt = F.lead("word").over(tokens.by_place())
     w = _base(spark, sf_dir).where("word is not null").select(F.concat_ws("-", "word", nxt).alias("word"), nxt.alias("n")).where("n is not null").select("word").distinct()
     w = w.where(F.length("word") - F.length(F.replace("word", F.lit("-"), F.lit(""))) == 1)
-    t = w.withColumns({"status": F.lit("not_found"), "output": F.col("word")})
-    return tiers.compound(t, C.lexicon(spark, sf_dir)).where("status = 'compound'").select("word", "output")
+    return tiers.compound_words(w, C.lexicon(spark, sf_dir)).select("word", F.col("compound").alias("output"))
 
 
 _UNKNOWN = f"u AS (SELECT DISTINCT word FROM status1 WHERE st = 'not_found')"
@@ -594,7 +593,7 @@ def _featured(spark, sf_dir) -> DataFrame:
         F.lit("NOUN").alias("tag_upos"), F.when(even, "Case=Gen|Number=Sing").otherwise("Case=Nom|Number=Plur").alias("tag_feats"), F.when(even, "0").alias("morph_pick"),
         F.create_map(F.lit("0"), F.lit(0.75), F.lit("1"), F.lit(0.25)).alias("xenc"), F.when(even, F.create_map(F.lit("1"), F.lit(0.5))).otherwise(none).alias("tok"),
         F.when(even, F.array(F.lit("Gen|Sing"))).alias("allowed"), F.when(first, F.array(F.lit("Case=Gen"), F.lit("Number=Sing"))).otherwise(F.array(F.lit("Case=Nom"), F.lit("Number=Sing"))).alias("r_feats"),
-        F.when(first, F.array(F.lit("NOUN"))).alias("r_upos"), ~first.alias("r_proper"), first.alias("r_senses"), F.col("rank").alias("heard"), F.lit(4).alias("heard_total"), F.lit(9).alias("seen_total"), F.lit(0.25).alias("minority"),
+        F.when(first, F.array(F.lit("NOUN"))).alias("r_upos"), (~first).alias("r_proper"), first.alias("r_senses"), F.col("rank").alias("heard"), F.lit(4).alias("heard_total"), F.lit(9).alias("seen_total"), F.lit(0.25).alias("minority"),
         F.array(F.lit("feats")).alias("told"), F.lit("0").alias("pipeline"), F.when(even, "stressed").otherwise("agreement").alias("status"),
     )
     return combiner.add_pipeline(combiner.features(rows))
