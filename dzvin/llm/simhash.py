@@ -1,14 +1,14 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Three differing bits over two 32-bit segments leave one segment with at most one differing bit. Each
-distinct fingerprint is indexed under its 64 one-wildcard variants (segment, bit left out, other bits);
+Three differing bits over two 32-bit segments (seven over four of 16) leave one segment with at most one
+differing bit. Each distinct fingerprint is indexed under its 64 one-wildcard variants (segment, bit left out, other bits);
 rows meet by equality of the variant and every meeting is verified on all 64 bits.
 
 In a bucket whose wildcard is not bit 0 only fingerprints that differ in the wildcard bit are paired:
 equal segments share all their variants and meet under bit 0. Buckets up to SMALL give their verified
 pairs, larger ones a spanning forest of their links (the same components, one edge a row at most), and
-rows of a bucket beyond HOT are indexed again under one-wildcard variants of the quarters of the other
-segment. Such a second bucket fixes all but 18 bits, so it holds 2**18 fingerprints at most.
+rows of a bucket beyond HOT are indexed again under one-wildcard variants of pieces of the other bits. At
+three bits such a second bucket fixes all but 18, so it holds 2**18 fingerprints at most.
 """
 
 from __future__ import annotations
@@ -58,26 +58,40 @@ def add_fingerprint(docs: DataFrame, text_col: str, name: str, words: int = WORD
     return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(add, ", ".join([*fields, "f long"])).toDF(*docs.columns, name)
 
 
-def variants(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segments(distance: int) -> int:
+    """The fewest equal segments of which one differs by at most one bit."""
+    return distance // 2 + 1
+
+
+def variants(f: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the 64 one-wildcard variants of each fingerprint, and the fingerprints beside them."""
+    size = 64 // segments(distance)
     out = np.empty((len(f), 64), np.int64)
-    for s in (0, 1):
-        seg = (f >> U64(32 * s)) & U64(0xFFFFFFFF)
-        for i in range(32):
-            out[:, 32 * s + i] = ((seg & ~U64(1 << i)) | U64(s << 37 | i << 32)).view(np.int64)
+    for s in range(64 // size):
+        seg = (f >> U64(size * s)) & U64((1 << size) - 1)
+        for i in range(size):
+            out[:, size * s + i] = ((seg & ~U64(1 << i)) | U64(s << 37 | i << 32)).view(np.int64)
     return out.ravel(), np.repeat(f, 64)
 
 
-def second_variants(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for the 16-bit quarters of the segment that a first key does not cover."""
+def second_variants(key: np.ndarray, f: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the bits that a first key does not cover, cut into as many pieces."""
+    n = segments(distance)
+    size = 64 // n
+    rest = (64 - size) // n
     k = key.view(U64)
-    other = np.where(k >> U64(37) == 0, f >> U64(32), f & U64(0xFFFFFFFF))
-    out = np.empty((len(f), 32), np.int64)
-    for t in (0, 1):
-        part = (other >> U64(16 * t)) & U64(0xFFFF)
-        for j in range(16):
-            out[:, 16 * t + j] = (k << U64(21) | U64(t << 20 | j << 16) | (part & ~U64(1 << j))).view(np.int64)
-    return out.ravel(), np.repeat(f, 32)
+    s = k >> U64(37)
+    low = f & ((U64(1) << (s * U64(size))) - U64(1))
+    high = np.where(s == n - 1, U64(0), f >> ((s * U64(size) + U64(size)) & U64(63)))
+    other = low | high << (s * U64(size))
+    # A first key in as few bits as it needs.
+    short = (s * U64(size) + (k >> U64(32) & U64(31))) << U64(size) | k & U64((1 << size) - 1)
+    out = np.empty((len(f), n * rest), np.int64)
+    for t in range(n):
+        part = (other >> U64(rest * t)) & U64((1 << rest) - 1)
+        for j in range(rest):
+            out[:, rest * t + j] = (short << U64(rest + 6) | U64((rest * t + j) << rest) | (part & ~U64(1 << j))).view(np.int64)
+    return out.ravel(), np.repeat(f, n * rest)
 
 
 def _forest(f: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,7 +118,7 @@ def bucket_edges(key: np.ndarray, f: np.ndarray, distance: int, level: int) -> t
     size = np.diff(np.r_[begin, len(key)])
     bit = (key[begin] >> 32) & 31
     # The bit that the wildcard left out, set or not; at the second level all pairs count.
-    place = (bit + 32 * ((key >> 37) & 1)[begin]).astype(U64)
+    place = (bit + 64 // segments(distance) * (key >> 37)[begin]).astype(U64) if level == 1 else bit.astype(U64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for m in np.unique(size[(size > 1) & (size <= SMALL)]):
         at = begin[size == m]
@@ -170,13 +184,13 @@ def _join_buckets(index: DataFrame, distance: int, level: int, hot: int) -> Data
     return index.repartition(n, "key").sortWithinPartitions("key", "f").mapInArrow(meet, "a long, b long, key long")
 
 
-def _index(rows: DataFrame, level: int) -> DataFrame:
+def _index(rows: DataFrame, level: int, distance: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 8192):
                 part = b.slice(at, 8192)
                 f = part.column(0).to_numpy().view(U64)
-                key, f = variants(f) if level == 1 else second_variants(part.column(1).to_numpy(), f)
+                key, f = variants(f, distance) if level == 1 else second_variants(part.column(1).to_numpy(), f, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f.view(np.int64))], ["key", "f"])
 
     return rows.mapInArrow(make, "key long, f long")
@@ -184,13 +198,13 @@ def _index(rows: DataFrame, level: int) -> DataFrame:
 
 def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """(f) distinct longs -> (a, b): edges with the components of the links at `distance` or fewer bits."""
-    if not 0 <= distance <= 3:
-        raise ValueError("two segments with one wildcard find up to three differing bits")
+    if distance not in (2, 3, 6, 7):
+        raise ValueError("the distance must leave two or four equal segments: 2, 3, 6 or 7")
     ship(prints.sparkSession)
-    first = cut_lineage(_join_buckets(_index(prints, 1), distance, 1, hot))
+    first = cut_lineage(_join_buckets(_index(prints, 1, distance), distance, 1, hot))
     edges, over = first.where("a <> b").select("a", "b"), first.where("a = b").select("a", "key")
     if not over.isEmpty():
-        edges = edges.unionByName(_join_buckets(_index(over, 2), distance, 2, hot).select("a", "b"))
+        edges = edges.unionByName(_join_buckets(_index(over, 2, distance), distance, 2, hot).select("a", "b"))
     return edges
 
 

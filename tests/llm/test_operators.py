@@ -404,7 +404,7 @@ def plain_print(t: str | None, words: int = 3) -> int:
     return sum((2 * sum(x >> k & 1 for x in h) > len(h)) << k for k in range(64))
 
 
-def components_of(prints: list[int]) -> list[int]:
+def components_of(prints: list[int], bits: int = 3) -> list[int]:
     up = list(range(len(prints)))
 
     def top(x):
@@ -414,7 +414,7 @@ def components_of(prints: list[int]) -> list[int]:
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(prints))]
@@ -436,8 +436,8 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 8])
-def test_links_lose_nothing(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(simhash.HOT, 3), (8, 3), (simhash.HOT, 7), (8, 7)])
+def test_links_lose_nothing(spark, hot, bits):
     r = random.Random(17)
     centre = [r.getrandbits(64) for _ in range(5)]
     prints = {0, *centre}
@@ -453,10 +453,10 @@ def test_links_lose_nothing(spark, hot):
     order = sorted(prints)
     signed = [x - (1 << 64) if x >> 63 else x for x in order]
     d = spark.createDataFrame([(x,) for x in signed], "f long")
-    edges = simhash.link_fingerprints(d, hot=hot)
-    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 3 for e in edges.collect())
+    edges = simhash.link_fingerprints(d, bits, hot=hot)
+    assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= bits for e in edges.collect())
     label = {x.node: x.label for x in connected_components(edges).collect()}
-    want = components_of(order)
+    want = components_of(order, bits)
     groups = lambda ids: sorted(sorted(v) for v in ids.values())
     a, b = defaultdict(list), defaultdict(list)
     for k, x in enumerate(signed):
