@@ -44,8 +44,9 @@ def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
         for b in batches:
             for part in steps(b, "t"):
                 w = Words(part.column(0))
-                key = np.unique(w.doc.astype(np.int64) << DF_BITS | _slots(w.hash))
-                df += np.bincount(key & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
+                key = np.sort(w.doc.astype(np.int64) << DF_BITS | _slots(w.hash))
+                new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+                df += np.bincount(key[new] & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
                 docs, words = docs + w.n_docs, words + len(w.hash)
         at = np.flatnonzero(df)
         # -1 and -2 carry the totals.
