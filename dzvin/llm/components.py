@@ -23,8 +23,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         parent = cut_lineage(parent)
         while True:
+            # Two doublings to a job; most paths are short.
             top = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            doubled = cut_lineage(parent.join(top, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
+            once = parent.join(top, "up").select("node", F.col("up").alias("old"), F.col("top").alias("up"))
+            twice = once.join(top, "up").select("node", F.col("top").alias("up"), (F.col("old") != F.col("top")).alias("moved"))
+            doubled = cut_lineage(twice)
             parent = doubled.select("node", "up")
             if doubled.where("moved").isEmpty():
                 break

@@ -86,4 +86,56 @@ QUERIES = {
     "op10_token_tables": op10_token_tables,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+_SHINGLES = "SELECT DISTINCT {0}, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT {0}, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM {1})"
+
+#: Items of five words or more, as all of the benchmark are.
+_OP4 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+b AS (SELECT min(item_id) AS item_id, count(*) AS item_copies, {_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS ws FROM benchmark GROUP BY text),
+ds AS ({_SHINGLES.format("doc_id", "d")}), bs AS ({_SHINGLES.format("item_id", "b")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_copies, n_shingles, n_found, n_found / n_shingles AS containment
+FROM f JOIN n USING (item_id) JOIN b USING (item_id) WHERE n_found * 10 >= n_shingles * 8
+"""
+
+_METRICS = {"sign_share": "10000 * n_symbols // greatest(word_chars, 1)", "line_share": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeat_share": "10000 * n_repeat_words // greatest(n_words, 1)", "caps_share": "10000 * n_caps // greatest(word_chars, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
+
+
+def _quartiles(name: str, source: str, keys: str) -> str:
+    """The buckets that hold the quarters of each sketch."""
+    by = f"PARTITION BY {keys}{', ' if keys else ''}metric"
+    comma = f"{keys}, " if keys else ""
+    return (
+        f"{name}0 AS (SELECT {comma}metric, bucket, sum(n) AS n FROM {source} GROUP BY ALL), "
+        f"{name}1 AS (SELECT *, sum(n) OVER ({by}) AS rows_, sum(n) OVER ({by} ORDER BY bucket) AS seen FROM {name}0), "
+        f"{name} AS (SELECT {comma}metric, any_value(rows_) AS rows_, min(CASE WHEN seen * 4 >= rows_ THEN bucket END) AS q1, min(CASE WHEN seen * 4 >= rows_ * 3 THEN bucket END) AS q3 FROM {name}1 GROUP BY ALL)"
+    )
+
+
+_OP7 = f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM t),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+c AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM r),
+k AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+q AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_caps FROM w LEFT JOIN k ON k.doc_id = w.doc_id),
+m AS (SELECT *, {", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _METRICS.items())} FROM q),
+u AS (UNPIVOT (SELECT doc_id, lang, source, {", ".join(_METRICS)} FROM m) ON {", ".join(_METRICS)} INTO NAME metric VALUE v),
+own0_ AS (SELECT lang, source, metric, (v >> CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT)) << CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS bucket, count(*) AS n FROM u GROUP BY ALL),
+{_quartiles("own", "own0_", "lang, source")}, {_quartiles("per", "own0_", "lang")}, {_quartiles("whole", "own0_", "")},
+p AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.rows_ >= {rules.LEAST_ROWS} THEN o.q1 WHEN l.rows_ >= {rules.LEAST_ROWS} THEN l.q1 ELSE a.q1 END AS q1,
+  CASE WHEN o.rows_ >= {rules.LEAST_ROWS} THEN o.q3 WHEN l.rows_ >= {rules.LEAST_ROWS} THEN l.q3 ELSE a.q3 END AS q3
+  FROM own o JOIN per l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN whole a ON a.metric = o.metric),
+f AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{k}' THEN greatest(q3 + 3 * (q3 - q1), {v}) END) AS {k}_high" for k, v in rules.FLOORS.items())},
+  max(CASE WHEN metric = 'word_length' THEN least(q1 - 3 * (q3 - q1), {rules.LENGTH_CEILING}) END) AS low FROM p GROUP BY lang, source),
+x AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_length >= low AND {" AND ".join(f"{k} <= {k}_high" for k in _METRICS)} AS good
+  FROM m JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM x
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": _OP4, "op7_quality_rules": _OP7}

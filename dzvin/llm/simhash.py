@@ -124,7 +124,7 @@ def bucket_edges(key: np.ndarray, f: np.ndarray, distance: int, level: int) -> t
         at = begin[size == m]
         rows = f[at[:, None] + np.arange(m)]
         i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 22) // len(i))
+        step = max(1, (1 << 19) // len(i))
         for k in range(0, len(at), step):
             x, y = rows[k : k + step][:, i], rows[k : k + step][:, j]
             d = x ^ y
