@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from dzvin.llm import decontam, packing, quality_lr, rules, secrets, sharding, simhash, sst, toxicity, warc
 from dzvin.llm.common import Words, steps
 from dzvin.llm.components import connected_components
@@ -465,6 +466,52 @@ def test_links_lose_nothing(spark, hot, bits):
     assert groups(a) == groups(b)
 
 
+def test_near_fingerprints_alone_drop_nothing(spark):
+    """Rows go only by links that hold in the shingle sets too, like a plain search over all pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    # Two shingles each: a quarter of the bits set, so some unrelated ones are near by chance.
+    short = [" ".join(word() for _ in range(6)) for _ in range(4000)]
+    p = np.array([simhash.fingerprint(t, 5) for t in short], np.uint64)
+    chance = sorted({k for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p ^ p[i]) <= 7).tolist() if i != j for k in (i, j)})
+    assert chance
+    all_ = [short[k] for k in chance] + [None, "", " ", "one", "one two"]
+    for _ in range(6):
+        base = [word() for _ in range(120)]
+        for edits in (0, 0, 1, 2, 3, 5, 8):
+            t = list(base)
+            for at in r.sample(range(120), edits):
+                t[at] = word()
+            all_.append(" ".join(t))
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in all_]
+    prints = [simhash.fingerprint(t, 5) for t in all_]
+    root = list(range(len(all_)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(all_)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 7
+            if near and (not (sets[i] | sets[j]) or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                a, b = sorted((top(i), top(j)))
+                root[b], linked = a, linked + (sets[i] != sets[j])
+    assert linked
+    want = [i for i in range(len(all_)) if root[i] == i]
+    d = spark.createDataFrame(list(enumerate(all_)), "doc_id long, text string").repartition(3)
+    got = simhash.keep_first(d, words=5, distance=7, similarity=0.8)
+    assert sorted(x.doc_id for x in got.collect()) == want
+    assert len(want) > simhash.keep_first(d, words=5, distance=7).count()
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted(x.doc_id for x in stage(spark, d, "").collect()) == want
+    odd = spark.createDataFrame([(None, all_[-1]), (None, all_[-1]), (3, all_[-1]), (3, all_[-1]), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.text) for x in simhash.keep_first(odd, words=5, distance=7, similarity=0.8).collect()) == [(0, "alone"), (3, all_[-1])]
+    assert simhash.keep_first(d.limit(0), words=5, distance=7, similarity=0.8).collect() == []
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(0, 200)] + [(500 + k, 500) for k in range(1, 90)] + [(7, 7), (3, 2), (900, None)]
     d = spark.createDataFrame(path, "a long, b long")
