@@ -101,7 +101,7 @@ SELECT doc_id, item_id, item_copies, n_shingles, n_found, n_found / n_shingles A
 FROM f JOIN n USING (item_id) JOIN b USING (item_id) WHERE n_found * 10 >= n_shingles * 8
 """
 
-_METRICS = {"sign_share": "10000 * n_symbols // greatest(word_chars, 1)", "line_share": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeat_share": "10000 * n_repeat_words // greatest(n_words, 1)", "caps_share": "10000 * n_caps // greatest(word_chars, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
+_METRICS = {"sign_share": "10000 * n_symbols // greatest(word_chars, 1)", "line_share": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeat_share": "10000 * n_repeat_words // greatest(n_words, 1)", "caps_share": "10000 * n_caps // greatest(word_chars, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)", "words": "n_words", "lines": "n_lines"}
 
 
 def _quartiles(name: str, source: str, keys: str) -> str:
@@ -111,10 +111,18 @@ def _quartiles(name: str, source: str, keys: str) -> str:
     return (
         f"{name}0 AS (SELECT {comma}metric, bucket, sum(n) AS n FROM {source} GROUP BY ALL), "
         f"{name}1 AS (SELECT *, sum(n) OVER ({by}) AS rows_, sum(n) OVER ({by} ORDER BY bucket) AS seen FROM {name}0), "
-        f"{name} AS (SELECT {comma}metric, any_value(rows_) AS rows_, min(CASE WHEN seen * 4 >= rows_ THEN bucket END) AS q1, min(CASE WHEN seen * 4 >= rows_ * 3 THEN bucket END) AS q3 FROM {name}1 GROUP BY ALL)"
+        f"{name} AS (SELECT {comma}metric, any_value(rows_) AS rows_, {", ".join(f"min(CASE WHEN seen * 4 >= rows_ * {k} THEN bucket END) AS q{k}" for k in (1, 2, 3))} FROM {name}1 GROUP BY ALL)"
     )
 
 
+#: A quartile of the sketch {0}, drawn towards that of {1}.
+_DRAWN = f"CAST(({{0}}.rows_ * {{0}}.q{{2}} + {rules.SMOOTHING} * {{1}}.q{{2}}) // ({{0}}.rows_ + {rules.SMOOTHING}) AS BIGINT) AS q{{2}}"
+_UNITS = {
+    "sign_share": "10000 // greatest(words_q2, 1)", "caps_share": "10000 // greatest(words_q2, 1)", "line_share": "10000 // greatest(lines_q2, 1)",
+    "repeat_share": f"{20_000 * rules.WINDOW} // greatest(words_q2, 1)", "word_length": "word_length_q2 // 10",
+}
+_REACH = f"greatest({rules.SPREADS} * ({{0}}_q3 - {{0}}_q1), {rules.UNITS} * ({{1}}))"
+
 _OP7 = f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM t),
@@ -128,12 +136,11 @@ m AS (SELECT *, {", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _METRICS.it
 u AS (UNPIVOT (SELECT doc_id, lang, source, {", ".join(_METRICS)} FROM m) ON {", ".join(_METRICS)} INTO NAME metric VALUE v),
 own0_ AS (SELECT lang, source, metric, (v >> CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT)) << CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS bucket, count(*) AS n FROM u GROUP BY ALL),
 {_quartiles("own", "own0_", "lang, source")}, {_quartiles("per", "own0_", "lang")}, {_quartiles("whole", "own0_", "")},
-p AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.rows_ >= {rules.LEAST_ROWS} THEN o.q1 WHEN l.rows_ >= {rules.LEAST_ROWS} THEN l.q1 ELSE a.q1 END AS q1,
-  CASE WHEN o.rows_ >= {rules.LEAST_ROWS} THEN o.q3 WHEN l.rows_ >= {rules.LEAST_ROWS} THEN l.q3 ELSE a.q3 END AS q3
-  FROM own o JOIN per l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN whole a ON a.metric = o.metric),
-f AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{k}' THEN greatest(q3 + 3 * (q3 - q1), {v}) END) AS {k}_high" for k, v in rules.FLOORS.items())},
-  max(CASE WHEN metric = 'word_length' THEN least(q1 - 3 * (q3 - q1), {rules.LENGTH_CEILING}) END) AS low FROM p GROUP BY lang, source),
-x AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_length >= low AND {" AND ".join(f"{k} <= {k}_high" for k in _METRICS)} AS good
+up AS (SELECT l.lang, l.metric, {", ".join(_DRAWN.format("l", "a", k) for k in (1, 2, 3))} FROM per l JOIN whole a ON a.metric = l.metric),
+p AS (SELECT o.lang, o.source, o.metric, {", ".join(_DRAWN.format("o", "l", k) for k in (1, 2, 3))} FROM own o JOIN up l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric),
+g AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{k}' THEN q{i} END) AS {k}_q{i}" for k in _METRICS for i in (1, 2, 3))} FROM p GROUP BY lang, source),
+f AS (SELECT lang, source, {", ".join(f"{k}_q3 + {_REACH.format(k, v)} AS {k}_high" for k, v in _UNITS.items())}, word_length_q1 - {_REACH.format("word_length", _UNITS["word_length"])} AS low FROM g),
+x AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_length >= low AND {" AND ".join(f"{k} <= {k}_high" for k in _UNITS)} AS good
   FROM m JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM x
 """

@@ -3,10 +3,14 @@
 Six whole numbers describe a text's make-up. For each language and source a quantile sketch of each is
 kept: counts of log-linear buckets (exact below 64, then 32 to a power of two, so within 1/32 of the
 value). Such sketches merge by adding counts, in any order and with the same result, over partitions,
-over days, and over groups: a group with few rows uses the merged sketch of its language, or of all.
-A metric's upper fence is its third quartile plus three times the spread between the quartiles, and
-never under a floor that any plain text may reach; average word length has a lower fence too. The
-fences, a row for each group, are joined to the rows.
+over days, and over groups. A group's quartiles are drawn towards those of its language, and these
+towards those of all rows, each by the weight of SMOOTHING rows, so that groups of any size follow one rule.
+
+A metric's upper fence is its third quartile plus SPREADS times the spread between the quartiles. Most
+plain texts have no sign and no repeat at all; where the spread is under half a unit of a text of the
+group's median size (one word of signs or capitals, one repeated line, one repeated window) UNITS such
+units take its place. Average word length has a lower fence too. All numbers of a fence come from the
+sketches of the group; the fences, a row for each group, are joined to the rows.
 """
 
 from __future__ import annotations
@@ -19,12 +23,11 @@ from dzvin.llm.common import cut_lineage
 SPACES = "\\x20\\x09-\\x0D"
 SIGNS = "#*$%&|<>"
 WINDOW = 8
-#: A group with fewer rows than this takes the fences of the sketch above it.
-LEAST_ROWS = 100
-#: Upper fences never fall below these: shares in ten-thousandths, word length in hundredths of a character.
-FLOORS = {"sign_share": 500, "line_share": 2000, "repeat_share": 2000, "caps_share": 2500, "word_length": 1400}
-#: The lower fence of the word length never rises above this.
-LENGTH_CEILING = 250
+#: Rows that the sketch above a group weighs against the group's own.
+SMOOTHING = 50
+#: Spreads between the quartiles, or units of a median text, from the third quartile to a fence.
+SPREADS, UNITS = 6, 3
+METRICS = ["sign_share", "line_share", "repeat_share", "caps_share", "word_length"]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -67,6 +70,9 @@ def metrics(q: Column) -> dict[str, Column]:
         "repeat_share": F.floor(share(q["n_repeat_words"], q["n_words"])),
         "caps_share": F.floor(share(q["n_caps"], q["word_chars"])),
         "word_length": F.floor(F.expr("100L") * q["word_chars"] / F.greatest(q["n_words"], F.lit(1))),
+        # Sizes, for the units.
+        "words": q["n_words"],
+        "lines": q["n_lines"],
     }
 
 
@@ -88,7 +94,7 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, n, q1, q3 of each sketch: the buckets in which the quarters of its rows lie."""
+    """keys, metric, n, q1, q2, q3 of each sketch: the buckets in which the quarters of its rows lie."""
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "n")))  # a sketch: at most 2,000 buckets
     s = sketches.groupBy(*keys, "metric").agg(F.sum("n").alias("n"), ordered.alias("s"))
     zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
@@ -100,7 +106,12 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
         return F.aggregate("s", zero, step)["at"]
 
-    return s.select(*keys, "metric", "n", at(1).alias("q1"), at(3).alias("q3"))
+    return s.select(*keys, "metric", "n", *(at(k).alias(f"q{k}") for k in (1, 2, 3)))
+
+
+def _drawn(n: Column, own: Column, above: Column) -> Column:
+    """A quartile drawn towards the one above, in whole numbers."""
+    return F.floor((n.cast("decimal(38,0)") * own + F.lit(SMOOTHING) * above) / (n + SMOOTHING)).cast("long")
 
 
 def fences(measured: DataFrame) -> DataFrame:
@@ -108,15 +119,23 @@ def fences(measured: DataFrame) -> DataFrame:
     m = F.struct(*(v.cast("long").alias(k) for k, v in metrics(F.col("q")).items()))
     own = sketch(measured.select("lang", "source", m.alias("m")), ["lang", "source"])
     a, b, c = (quartiles(s, k) for s, k in ((own, ["lang", "source"]), (merge(own, ["lang"]), ["lang"]), (merge(own, []), [])))
-    b = b.select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), F.struct("n", "q1", "q3").alias("b"))
-    c = c.select(F.col("metric").alias("metric3"), F.struct("q1", "q3").alias("c"))
-    j = a.join(b, a["lang"].eqNullSafe(b["lang2"]) & (a["metric"] == b["metric2"])).join(c, F.col("metric") == F.col("metric3"))
-    pick = lambda q: F.when(F.col("n") >= LEAST_ROWS, F.col(q)).when(F.col("b.n") >= LEAST_ROWS, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
-    j = j.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    spread = F.col("q3") - F.col("q1")
-    high = lambda k: F.max(F.when(F.col("metric") == k, F.greatest(F.col("q3") + 3 * spread, F.lit(FLOORS[k])))).alias(k)
-    low = F.max(F.when(F.col("metric") == "word_length", F.least(F.col("q1") - 3 * spread, F.lit(LENGTH_CEILING)))).alias("word_length_low")
-    return j.groupBy("lang", "source").agg(*(high(k) for k in FLOORS), low).select("lang", "source", F.struct(*FLOORS, "word_length_low").alias("f"))
+    quarters = ("q1", "q2", "q3")
+    c = c.select(F.col("metric").alias("metric3"), *(F.col(q).alias(f"c{q}") for q in quarters))
+    b = b.join(F.broadcast(c), F.col("metric") == F.col("metric3"))  # a row for each metric
+    b = b.select(F.col("lang").alias("lang2"), F.col("metric").alias("metric2"), *(_drawn(F.col("n"), F.col(q), F.col(f"c{q}")).alias(f"b{q}") for q in quarters))
+    j = a.join(b, a["lang"].eqNullSafe(b["lang2"]) & (a["metric"] == b["metric2"]))
+    j = j.select("lang", "source", "metric", *(_drawn(F.col("n"), F.col(q), F.col(f"b{q}")).alias(q) for q in quarters))
+    of = lambda k, q: F.max(F.when(F.col("metric") == k, F.col(q))).alias(f"{k}_{q}")
+    g = j.groupBy("lang", "source").agg(*(of(k, q) for k in [*METRICS, "words", "lines"] for q in quarters))
+    per = lambda size, times: F.floor(F.lit(times) / F.greatest(F.col(f"{size}_q2"), F.lit(1)))
+    unit = {
+        "sign_share": per("words", 10_000), "caps_share": per("words", 10_000), "line_share": per("lines", 10_000), "repeat_share": per("words", 10_000 * 2 * WINDOW),
+        "word_length": F.floor(F.col("word_length_q2") / 10),
+    }
+    reach = {k: F.greatest(SPREADS * (F.col(f"{k}_q3") - F.col(f"{k}_q1")), UNITS * unit[k]) for k in METRICS}
+    high = [(F.col(f"{k}_q3") + reach[k]).cast("long").alias(k) for k in METRICS]
+    low = (F.col("word_length_q1") - reach["word_length"]).cast("long").alias("word_length_low")
+    return g.select("lang", "source", F.struct(*high, low).alias("f"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -134,6 +153,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
     m = metrics(q)
     good = m["word_length"] >= f["word_length_low"]
-    for k in FLOORS:
+    for k in METRICS:
         good = good & (m[k] <= f[k])
     return out.withColumns({"base_failed": failed, "kept": ~failed & good})

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,6 +27,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "word", "two words", "naïve été Ünï", "a\tb\x0bc", "日本語 テスト", "x" * 9000, "it's <|endoftext|> 12 3.5%", "ſecret tail", "\x1c odd", "é é"]
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def texts(seed: int, n: int, size: int = 60) -> list[str]:
     r = random.Random(seed)
     words = ["".join(r.choice(("an", "er", "th", "on", "re", "in")) for _ in range(r.randint(1, 4))) for _ in range(300)]
@@ -345,6 +349,30 @@ def test_fences_leave_plain_text_and_catch_signs(spark):
     assert np.mean(good) > 0.98
 
 
+def test_fences_follow_the_make_up_of_the_group(spark):
+    """The same text is kept where its like is common and dropped where it is not; every fence depends on its group."""
+    plain = [" ".join(texts(100 + i, 1, 60 + i % 40)[0].split()) + f" k{i} " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(400)]
+    loud = [t + " " + " ".join(w.upper() for w in t.split()[: 10 + i % 20]) for i, t in enumerate(plain)]
+    odd = [(1000, loud[7], "en", "calm"), (1001, loud[7], "en", "loud")]
+    rows = [(i, t, "en", "calm") for i, t in enumerate(plain[:200])] + [(i + 200, t, "en", "loud") for i, t in enumerate(loud[200:])] + odd
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000].base_failed and not got[1000].kept and got[1001].kept
+    calm, noisy = got[0].f.asDict(), got[200].f.asDict()
+    assert noisy["caps_share"] > 2 * calm["caps_share"] and all(calm[k] != noisy[k] for k in ("caps_share", "sign_share", "repeat_share"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_no_fence_is_a_constant(spark):
+    limits = rules.fences(rules.measure(spark.read.parquet(f"{SF}/documents.parquet"))).select("f.*").collect()
+    assert all(len({r[k] for r in limits}) > 3 for k in [*rules.METRICS, "word_length_low"])
+
+
+def test_a_small_group_leans_on_those_above(spark):
+    q = spark.createDataFrame([(1, 900, 100), (1000, 900, 100)], "n long, own long, above long")
+    few, many = (r[0] for r in q.select(rules._drawn(q.n, q.own, q.above)).collect())
+    assert few == (900 + 50 * 100) // 51 and many == (900_000 + 5000) // 1050
+
+
 def test_packing_is_whole_and_full(spark, docs, rows, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
