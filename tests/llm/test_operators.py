@@ -2,9 +2,9 @@
 
 import hashlib
 import math
+import os
 import random
 import re
-import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,14 +351,15 @@ def test_fences_leave_plain_text_and_catch_signs(spark):
 
 def test_fences_follow_the_make_up_of_the_group(spark):
     """The same text is kept where its like is common and dropped where it is not; every fence depends on its group."""
-    plain = [" ".join(texts(100 + i, 1, 60 + i % 40)[0].split()) + f" k{i} " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(400)]
-    loud = [t + " " + " ".join(w.upper() for w in t.split()[: 10 + i % 20]) for i, t in enumerate(plain)]
-    odd = [(1000, loud[7], "en", "calm"), (1001, loud[7], "en", "loud")]
-    rows = [(i, t, "en", "calm") for i, t in enumerate(plain[:200])] + [(i + 200, t, "en", "loud") for i, t in enumerate(loud[200:])] + odd
+    pick = random.Random(5)
+    plain = [" ".join("".join(pick.choice("abcdefgh") for _ in range(pick.randint(3, 8))) for _ in range(80 + i % 40)) for i in range(500)]
+    loud = [t[: len(t) * (i % 50) // 100].upper() + t[len(t) * (i % 50) // 100 :] for i, t in enumerate(plain)]
+    odd = [(1000, loud[45], "en", "calm"), (1001, loud[45], "xx", "loud")]
+    rows = [(i, t, "en", "calm") for i, t in enumerate(plain[:350])] + [(i + 350, t, "xx", "loud") for i, t in enumerate(loud[350:])] + odd
     got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not got[1000].base_failed and not got[1000].kept and got[1001].kept
-    calm, noisy = got[0].f.asDict(), got[200].f.asDict()
-    assert noisy["caps_share"] > 2 * calm["caps_share"] and all(calm[k] != noisy[k] for k in ("caps_share", "sign_share", "repeat_share"))
+    calm, noisy = got[0].f.asDict(), got[350].f.asDict()
+    assert noisy["caps_share"] > 2 * calm["caps_share"] and all(calm[k] != noisy[k] for k in ("caps_share", "word_length"))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
