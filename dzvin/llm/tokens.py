@@ -1,6 +1,6 @@
 """Whole-text token ids.
 
-The ids of a text are those of the pieces that its pre-tokeniser cuts, in order. For the vocabulary that
+Strings of special tokens in a text are ordinary text, as the vocabularies' own description has it. The ids of a text are those of the pieces that its pre-tokeniser cuts, in order. For the vocabulary that
 drops white space pieces repeat enough that each worker keeps a bounded cache of their ids as bytes.
 """
 
@@ -71,24 +71,35 @@ class WordEncoder:
         return b"".join(map(self.pieces.__getitem__, (text or "").encode().split()))
 
 
+#: The pattern of the byte-level vocabulary with possessive runs: the same pieces, found without stepping back.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
 class ByteEncoder:
     """Ids of a byte-level vocabulary that keeps white space (a tokenizers file), found by rank merging.
 
-    The merges of such a file are in order of their ids, so ranks give the same ids; whole texts are
+    Ranks give the same ids if the merges are in order of their ids, which is checked; whole texts are
     faster by ranks than pieces by a cache.
     """
 
     def __init__(self, path: str):
-        from public_tokenizers import PATTERN
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_alphabet().items()}
         special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.ids = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:])) or max(i for t, i in vocab.items() if len(t) == 1) > min(made, default=1 << 32):
+            raise ValueError("the merges are not in order of their ids, so ranks would give other ids")
+        ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+        self.ids = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.code = "HI"[self.dtype.itemsize // 4]
+        # The number of a token without regard to case and the white space before it; 0 for white space alone.
+        self.fold, known = np.zeros(max([*ranks.values(), END_ID]) + 1, np.int64), {b"": 0}
+        for token, i in ranks.items():
+            self.fold[i] = known.setdefault(token.lower().strip(), len(known))
+        self.n_terms = len(known)
 
     def encode(self, text: str | None) -> bytes:
         return array(self.code, self.ids(text or "")).tobytes()

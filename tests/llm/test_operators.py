@@ -398,33 +398,107 @@ def test_packing_is_whole_and_full(spark, docs, rows, empty):
     assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def plain_bm25(ids: list[list[int]], enc: ByteEncoder) -> tuple:
+    """Weights of terms by document (a dict each), by the formula."""
+    terms = [Counter(t for t in (int(enc.fold[i]) for i in x[:-1]) if t) for x in ids]
+    df, mean = Counter(t for c in terms for t in c), sum(c.total() for c in terms) / max(1, len(terms))
+    idf = {t: max(0.0, math.log((len(ids) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+    return [{t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t, n in c.items()} for c in terms]
+
+
+def encoded(col: list[str], enc: ByteEncoder) -> list[bytes]:
+    return [enc.encode(t) + np.array([1], enc.dtype).tobytes() for t in col]
+
+
 def test_bm25_neighbours_are_those_of_the_formula():
-    r = random.Random(9)
-    words = [f"w{k}" for k in range(60)]
-    col = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(40)]
-    w = Words(pa.array(col))
-    df = np.zeros(1 << packing.DF_BITS, np.int64)
-    for slot in {(d, s) for d, s in zip(w.doc.tolist(), packing._slots(w.hash).tolist())}:
-        df[slot[1]] += 1
-    mean = len(w.hash) / len(col)
-    index = packing.Index(w, df, len(col), mean)
-    docs_of = {x: [i for i, t in enumerate(col) if x in t.split()] for x in words}
-    for seed in range(0, 40, 7):
-        score = np.zeros(40)
-        for x in set(col[seed].split()):
-            n = len(docs_of[x])
-            idf = math.log((40 - n + 0.5) / (n + 0.5))
-            if idf > 0 and n > 1:
-                for i in docs_of[x]:
-                    tf = col[i].split().count(x)
-                    score[i] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(col[i].split()) / mean))
-        unused = np.ones(40, bool)
+    r, enc = random.Random(9), ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = "the a house river stone green walks under because Paper water light morning seven".split() + [f"w{k}x" for k in range(20)]
+    col = ["", "The THE  the\n"] + [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(40)]
+    ids = encoded(col, enc)
+    t = packing.Terms(pa.array(ids, pa.binary()), enc.dtype, enc.fold)
+    stats = packing.Statistics(np.bincount(t.term, minlength=enc.n_terms), len(col), int(t.tf.sum()))
+    index, weight = packing.Index(t, stats), plain_bm25([np.frombuffer(x, enc.dtype).tolist() for x in ids], enc)
+    assert len({*t.term[t.doc == 1].tolist()}) == 1
+    for seed in range(len(col)):
+        score = [sum(weight[i].get(x, 0) for x in weight[seed]) for i in range(len(col))]
+        unused = np.ones(len(col), bool)
         unused[seed] = False
-        got = index.neighbours(seed, unused)
-        assert set(got.tolist()) == {i for i in range(40) if score[i] > 1e-12 and i != seed}
+        got = index.neighbours(seed, unused).tolist()
+        assert set(got) == {i for i, x in enumerate(score) if x > 1e-12 and i != seed}
         assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
 
 
+def test_packing_follows_the_ranking(spark):
+    """The whole order of one shard against a plain greedy search over all pairs."""
+    r, enc, path = random.Random(3), ByteEncoder(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path("byte_bpe_50k.json")
+    col = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "river", "stone"][k % 3 :: 3] + [f"n{k % 7}"]) for _ in range(r.randint(1, 60))) for k in range(60)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(col)), "doc_id long, text string"), path, window=128).orderBy("sequence_id", "offset").collect()
+    ids = {i: np.frombuffer(x, enc.dtype).tolist() for i, x in enumerate(encoded(col, enc))}
+    weight = plain_bm25(list(ids.values()), enc)
+    score = lambda a, b: sum(x * (t in weight[a]) for t, x in weight[b].items())
+    used: set[int] = set()
+    by_window = defaultdict(list)
+    for g in got:
+        by_window[g.sequence_id].append(g)
+    for window in by_window.values():
+        seed = window[0].doc_id
+        used.add(seed)
+        for g in window[1:]:
+            best = max((score(seed, i) for i in ids if i not in used), default=0)
+            assert score(seed, g.doc_id) >= best - 1e-9
+            used.add(g.doc_id)
+    assert used == set(ids)
+
+
+def test_packing_does_not_depend_on_the_setup(spark, docs):
+    def run():
+        return sorted(map(tuple, packing.pack(docs.where("doc_id is not null"), public_tokenizers.path("byte_bpe_50k.json"), window=256).collect()))
+
+    few, before = run(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert run() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = Counter()
+    for x in few:
+        sizes[x[5]] += x[2]
+    assert sum(n < 256 for n in sizes.values()) <= 1
+
+
+def test_packing_over_many_ranges(spark, monkeypatch):
+    """Over many ranges every id is still in one piece."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 9000)
+    texts_ = texts(77, 60, 50) + [" ".join(texts(78, 80, 60))] + ["same text of a hot group"] * 40
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), path, window=64, with_ids=True).collect()
+    whole = defaultdict(dict)
+    for g in got:
+        whole[g.doc_id][g.start] = np.frombuffer(g.ids, "<u4").tolist()
+    enc = ByteEncoder(path)
+    for i, t in enumerate(texts_):
+        assert sum((whole[i][k] for k in sorted(whole[i])), []) == np.frombuffer(enc.encode(t), enc.dtype).tolist() + [1]
+
+
+def test_shards_are_cut_by_documents_and_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 5)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 300)
+    sizes = [10] * 12 + [1000] + [100] * 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10)), pa.array([b"x" * n for n in sizes[k : k + 10]])], ["doc_id", "ids"]) for k in (0, 10)]
+    got = [x.column(0).to_pylist() for x in packing._shards(iter(batches))]
+    assert sum(got, []) == list(range(20)) and all(len(x) <= 5 for x in got) and [12] not in got and got[0] == [0, 1, 2, 3, 4]
+
+
+def test_an_encoder_refuses_merges_out_of_order(tmp_path):
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    spec["model"]["merges"][10], spec["model"]["merges"][900] = spec["model"]["merges"][900], spec["model"]["merges"][10]
+    (tmp_path / "x.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="order"):
+        ByteEncoder(str(tmp_path / "x.json"))
+
+
 def plain_print(t: str | None, words: int = 3) -> int:
     w = (t or "").encode().lower().split()
     if not w:
@@ -554,7 +628,7 @@ def test_token_encoders_equal_the_library():
         path = public_tokenizers.path(name)
         tok, e = Tokenizer.from_file(path), make(path)
         tok.encode_special_tokens = True
-        for t in [x or "" for x in ODD] + texts(21, 80) + ["don't I'LL we've A.B,C", "a  b\n\n c ", "ẞ İ ΣΣ", "½ ٣٤", " x　y"]:
+        for t in [x or "" for x in ODD] + texts(21, 80) + ["don't I'LL we've A.B,C", "a  b\n\n c ", "a   b", "q \n\n  z\t", "a\x85 b", "\u2003 \u00a0 x \u00a0\u00a0 ", "ẞ İ ΣΣ", "½ ٣٤", " x　y"]:
             assert np.frombuffer(e.encode(t), e.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, (name, t[:40])
 
 
