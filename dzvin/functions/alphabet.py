@@ -53,7 +53,9 @@ SCHEMA_VERSION, NORMALIZATION_VERSION = 1, "ukstress-nfd-v1"
 LETTER = "[А-Яа-яЄєІіЇїҐґ]"
 MARKS = "\\p{Mn}"
 JOINER_CLASS = "[\\-'ʼ’‘ʻ`＇‐‑‒–—−]"
-WORD = f"{LETTER}(?:{JOINER_CLASS}*[А-Яа-яЄєІіЇїҐґ{MARKS}])*"
+_INNER = f"А-Яа-яЄєІіЇїҐґ{MARKS}"
+#: A letter, then letters, marks and joiners up to the last letter or mark. Plain classes, since Java's patterns recurse in groups.
+WORD = f"(?:{LETTER}[{_INNER}{JOINER_CLASS[1:-1]}]*[{_INNER}]|{LETTER})"
 #: A vowel as signatures count it: the letter whose first decomposed code point is a vowel, so й counts.
 COUNTED = "АЕЄИІЇОУЮЯЙЁаеєиіїоуюяйё"
 BREAK_CLASS = "\\-‐‑‒–—−\\s"

@@ -63,7 +63,8 @@ def char_problem(c: Column | str) -> Column:
     """Null when all characters are allowed, otherwise the reason that the first bad one gives."""
     text = canonical_form(c)
     low = A.LETTERS.replace("й", "").replace("ї", "")
-    good = f"^(?:[Ии]{A.BREVE}|[Іі]{A.DIAERESIS}|[{low}{low.upper()}{A.APOSTROPHE}{A.ACUTE}\\x20\\t-])*"
+    # What is allowed taken out everywhere, the rest begins with the first bad character; runs of single characters first.
+    good = f"[{low}{low.upper()}{A.APOSTROPHE}{A.ACUTE}\\x20\\t-](?![{A.BREVE}{A.DIAERESIS}])|[Ии]{A.BREVE}|[Іі]{A.DIAERESIS}|[{low}{low.upper()}{A.APOSTROPHE}{A.ACUTE}\\x20\\t-]"
     bad = F.substring(F.regexp_replace(text, good, ""), 1, 1)
     return (
         F.when(F.length(text) == 0, "empty form")
@@ -119,23 +120,26 @@ def apply_signature(surface: Column | str, signature: Column | str) -> Column:
     w, s = _col(surface), _col(signature)
     vowel, parts = f"[{A.COUNTED}]{A.MARKS}*$", f"[{A.BREAK_CLASS}]$"
 
-    def place(kinds: Column, wanted: Column):
-        def one(x: Column, i: Column) -> Column:
-            """The unit with an acute where it is wanted. Vowels count from the last break on."""
-            before = F.substring(kinds, F.lit(1), i)
-            segment = i - F.length(F.replace(before, F.lit("b"), F.lit("")))
-            since = F.length(F.replace(F.substring_index(before, "b", -1), F.lit("c"), F.lit("")))
-            hit = (F.substring(kinds, i + 1, F.lit(1)) == "v") & F.array_contains(wanted, F.concat_ws(":", segment, since))
-            return F.struct(F.concat(x, F.when(hit, A.ACUTE).otherwise("")).alias("x"), hit.alias("hit"))
+    # A letter for each unit: it ends in a vowel, a break, or neither.
+    kinds = lambda u: F.array_join(F.transform(u, lambda x: F.when(x.rlike(vowel), "v").when(x.rlike(parts), "b").otherwise("c")), "")
+    count = lambda k, letter: F.length(k) - F.length(F.replace(k, F.lit(letter), F.lit("")))
 
-        return one
+    def unit_of(k: Column, place: Column) -> Column:
+        """The number of the unit at `segment:ordinal`, null where the word lacks it."""
+        segment, ordinal = F.substring_index(place, ":", 1).try_cast("int"), F.substring_index(place, ":", -1).try_cast("int")
+        begin = F.when(segment == 0, 0).otherwise(F.length(F.call_function("substring_index", k, F.lit("b"), segment)) + 1)
+        own = F.substring_index(F.substring(k, begin + 1, F.length(k)), "b", 1)
+        return F.when((count(k, "b") >= segment) & (count(own, "v") > ordinal), begin + F.length(F.call_function("substring_index", own, F.lit("v"), ordinal + 1)))
 
-    def fitted(made: Column, wanted: Column) -> Column:
-        return F.when(F.size(F.filter(made, lambda m: m["hit"])) == F.size(wanted), F.array_join(F.transform(made, lambda m: m["x"]), ""))
+    def put(u: Column, hits: Column) -> Column:
+        marked = F.transform(u, lambda x, i: F.concat(x, F.when(F.array_contains(hits, i), A.ACUTE).otherwise("")))
+        return F.when(F.forall(hits, lambda h: h.isNotNull()), F.array_join(marked, ""))
 
-    # A letter for each unit: it ends in a vowel, a break, or neither.
-    kinds = lambda u: F.array_join(F.transform(u, lambda x: F.when(x.rlike(vowel), "v").when(x.rlike(parts), "b").otherwise("c")), "")
-    made = let(F.struct(units(w).alias("u"), wanted_places(s).alias("wanted")), lambda t: let(F.struct(F.transform(t["u"], lambda x: x).alias("u"), kinds(t["u"]).alias("k"), t["wanted"].alias("wanted")), lambda t: let(F.transform(t["u"], place(t["k"], t["wanted"])), lambda made: fitted(made, t["wanted"]))))
+    def placed(t: Column) -> Column:
+        with_kinds = F.struct(kinds(t["u"]).alias("k"), t["u"].alias("u"), t["wanted"].alias("wanted"))
+        return let(with_kinds, lambda x: let(F.struct(F.transform(x["wanted"], lambda p: unit_of(x["k"], p)).alias("hits"), x["u"].alias("u")), lambda y: put(y["u"], y["hits"])))
+
+    made = let(F.struct(units(w).alias("u"), wanted_places(s).alias("wanted")), placed)
     return F.when(~w.contains(A.ACUTE) & (F.length(s) > 0), made)
 
 

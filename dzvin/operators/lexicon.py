@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from dzvin.functions import alphabet as A
 from dzvin.functions.text import lookup_key
 
-#: A lexicon up to this many bytes is sent to all executors; a larger one is joined by a shuffle.
-SEND_BYTES = 256 << 20
-
 
 def lookup_rows(lookup: DataFrame, active: int, supplementary=A.SUPPLEMENTARY, reviewed=A.REVIEWED, exclusive=A.EXCLUSIVE) -> DataFrame:
     """The archive's `stress_lookup` rows of allowed datasets, as (form, sig, upper, reviewed, exclusive, confidence, rank)."""
@@ -85,9 +82,3 @@ def build_lexicon(rows: DataFrame, defaults: DataFrame | None = None, readings:
         if not all_readings:
             out = out.withColumn("readings", F.when(F.size("candidates") > 1, F.col("readings")))
     return out
-
-
-def sendable(lexicon: DataFrame) -> DataFrame:
-    """The lexicon with a broadcast hint if the plan's estimate of its size is within bounds."""
-    size = lexicon._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(lexicon) if int(str(size)) <= SEND_BYTES else lexicon

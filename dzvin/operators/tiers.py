@@ -1,9 +1,9 @@
 """The decision tiers: from words to marked text.
 
-Each tier is a step over the token table and may overwrite what earlier ones decided. The table is
-partitioned by document once, for the neighbour rules; the lexicon is sent to executors when small. What
-depends on a word alone and needs other words (compounds, suffixes) is made once for each distinct unknown
-word and joined, so the token table is never joined to itself.
+Most tiers depend on a word and on whether it opens a sentence, not on its place: the lexicon and case, compounds,
+suffixes, the default position and the first candidate. They are decided once for each distinct word, in
+a table that is joined to the tokens once. What is left for tokens is to choose among its columns, and the
+tiers that look at neighbours or at a model's answers.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from dzvin.functions import alphabet as A
 from dzvin.functions import text as T
-from dzvin.operators.lexicon import sendable
-from dzvin.operators.tokens import by_place, explode_words, with_offsets
+from dzvin.operators.tables import made_once, sendable
+from dzvin.operators.tokens import explode_words, with_offsets
 
 MAX_SUFFIX = 13
 
 
-def classify(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tier 1: lexicon and capitalisation. Adds initial, candidates, status and output."""
-    initial = T.opens_sentence(F.col("gap"), F.col("k") == 0)
-    keyed = tokens.withColumns({"initial": initial, "key": T.lookup_key("word")})
+def with_initial(tokens: DataFrame) -> DataFrame:
+    """Adds whether a word opens a sentence."""
+    return tokens.withColumn("initial", T.opens_sentence(F.col("gap"), F.col("k") == 0))
+
+
+def classify_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tier 1 for distinct (word, initial): adds key, candidates in order, status and output."""
+    keyed = words.withColumn("key", T.lookup_key("word"))
     found = keyed.join(sendable(lexicon.select(F.col("form").alias("key"), F.col("candidates").alias("all"), "proper")), "key", "left")
     word = F.col("word")
     needs = ~word.contains(A.ACUTE) & (T.vowel_count("word") > 0)
@@ -31,15 +35,21 @@ def classify(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     one = F.when(F.size("candidates") == 1, T.render("word", F.get("candidates", F.lit(0))))
     found = found.withColumn("one", one)
     status = (
-        F.when(word.isNull(), None)
-        .when(word.contains(A.ACUTE), "already_stressed")
+        F.when(word.contains(A.ACUTE), "already_stressed")
         .when(T.vowel_count("word") == 0, "not_required")
         .when(F.col("candidates").isNull() | (F.size("candidates") == 0), "not_found")
         .when(F.size("candidates") > 1, "model_ineligible")
         .when(F.col("one").isNull(), "invalid_candidate")
         .otherwise("stressed")
     )
-    return found.withColumn("status", status).withColumn("output", F.coalesce("one", "word")).drop("all", "proper", "one")
+    return found.select("word", "initial", "key", "candidates", status.alias("status"), F.coalesce("one", "word").alias("output"))
+
+
+def classify(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tier 1 for a token table: adds initial, key, candidates, status and output."""
+    t = with_initial(tokens)
+    words = t.where("word is not null").select("word", "initial").distinct()
+    return t.join(sendable(made_once(classify_words(words, lexicon))), ["word", "initial"], "left")
 
 
 def _decide(tokens: DataFrame, where: Column, output: Column, status: str) -> DataFrame:
@@ -50,9 +60,9 @@ def _decide(tokens: DataFrame, where: Column, output: Column, status: str) -> Da
 
 def prepositional_shift(tokens: DataFrame) -> DataFrame:
     """Tier 4: a pronoun right after a preposition is stressed on its first vowel, whatever it was before."""
-    before = F.lag(F.lower("word")).over(by_place())
-    near = F.lower("word").isin(A.SHIFTED_PRONOUNS) & before.isin(A.PREPOSITIONS) & F.col("gap").rlike("(?U)^\\s+\\z")
-    return _decide(tokens.withColumn("near", near), F.col("near"), T.render("word", F.lit("0")), "prepositional").drop("near")
+    low = F.lower("word")
+    near = low.isin(A.SHIFTED_PRONOUNS) & F.lower("previous").isin(A.PREPOSITIONS) & F.col("gap").rlike("(?U)^\\s+\\z")
+    return _decide(tokens, near, T.render("word", F.lit("0")), "prepositional")
 
 
 def compound_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -77,26 +87,38 @@ def longest_suffix(words: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def unknown_words(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None) -> DataFrame:
-    """(word) -> (word, compound, by_suffix): tiers 5 and 6 for distinct words that the lexicon lacks."""
-    keyed = words.where(~F.col("word").contains(A.ACUTE) & (T.vowel_count("word") > 0)).withColumn("key", T.lookup_key("word"))
-    known = lexicon.where(F.size("candidates") > 0).select(F.col("form").alias("key"))
-    lost = keyed.join(sendable(known), "key", "left_anti").select("word")
-    out = lost.join(compound_words(lost, lexicon), "word", "left")
+    """(word) -> (word, compound, by_suffix, by_place): tiers 5 to 7 for distinct words that the lexicon lacks."""
+    out = words.join(compound_words(words, lexicon), "word", "left")
     if suffixes is None:
-        return out.withColumn("by_suffix", F.lit(None).cast("string"))
-    made = longest_suffix(lost, suffixes).select("word", T.render("word", "sig").alias("by_suffix"))
-    return out.join(made, "word", "left")
+        out = out.withColumn("by_suffix", F.lit(None).cast("string"))
+    else:
+        out = out.join(longest_suffix(words, suffixes).select("word", T.render("word", "sig").alias("by_suffix")), "word", "left")
+    alone = ~F.col("word").rlike(f"[{A.BREAK_CLASS}]")
+    # Without breaks the place is a plain ordinal, which is set by a short way.
+    default = positional_signature("word")
+    default = T.render("word", F.when(alone, F.substring_index(default, ":", -1)).otherwise(default))
+    return out.withColumn("by_place", F.when(T.vowel_count("word") >= 2, default))
+
+
+def word_decisions(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Distinct (word, initial) -> what all tiers say that depend on these alone.
+
+    key, candidates, status and output of tier 1, by_word and by_word_status of tiers 5 to 7 where it found
+    nothing, and by_default, the first of several candidates set.
+    """
+    known = made_once(classify_words(words, lexicon))
+    lost = made_once(unknown_words(made_once(known.where("status = 'not_found'").select("word").distinct()), lexicon, suffixes))
+    kind = F.when(F.col("compound").isNotNull(), "compound").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("by_place").isNotNull(), "default_position")
+    lost = lost.select("word", F.coalesce("compound", "by_suffix", "by_place").alias("by_word"), kind.alias("by_word_status"))
+    first = F.when(F.col("status").isin("model_ineligible", "stressed"), T.render("word", F.get("candidates", F.lit(0))))
+    return made_once(known.join(sendable(lost), "word", "left").withColumn("by_default", first))
 
 
 def fall_back(tokens: DataFrame) -> DataFrame:
-    """Tiers 5 to 7 for tokens with the columns of `unknown_words`."""
-    lost = F.col("status") == "not_found"
-    by_place_ = F.when(T.vowel_count("word") >= 2, T.apply_signature("word", positional_signature("word")))
-    made = tokens.withColumn("default", F.when(lost & F.col("compound").isNull() & F.col("by_suffix").isNull(), by_place_))
-    status = F.when(F.col("compound").isNotNull(), "compound").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("default").isNotNull(), "default_position")
-    status = F.when(lost, F.coalesce(status, F.lit("not_found"))).otherwise(F.col("status"))
-    output = F.when(lost, F.coalesce("compound", "by_suffix", "default", "output")).otherwise(F.col("output"))
-    return made.withColumn("output", output).withColumn("status", status).drop("compound", "by_suffix", "default")
+    """Tiers 5 to 7 for tokens with the columns of `word_decisions`."""
+    lost = (F.col("status") == "not_found") & F.col("by_word").isNotNull()
+    out = tokens.withColumn("output", F.when(lost, F.col("by_word")).otherwise(F.col("output")))
+    return out.withColumn("status", F.when(lost, F.col("by_word_status")).otherwise(F.col("status")))
 
 
 def positional_signature(word: Column | str) -> Column:
@@ -108,18 +130,25 @@ def positional_signature(word: Column | str) -> Column:
 
 
 def dictionary_default(tokens: DataFrame) -> DataFrame:
-    """Tier 9: what is still undecided takes its first candidate."""
+    """Tier 9: what is still undecided takes its first candidate (`by_default` where the table has it)."""
     open_ = F.col("status").isin("ambiguous", "model_ineligible") & (F.size("candidates") > 0)
-    made = tokens.withColumn("made", F.when(open_, T.render("word", F.get("candidates", F.lit(0)))))
+    first = F.col("by_default") if "by_default" in tokens.columns else T.render("word", F.get("candidates", F.lit(0)))
+    made = tokens.withColumn("made", F.when(open_, first))
     status = F.when(F.col("made").isNotNull(), "dictionary_default").when(open_, "invalid_candidate").otherwise(F.col("status"))
     return made.withColumn("status", status).withColumn("output", F.coalesce("made", "output")).drop("made")
 
 
+def _answered(tokens: DataFrame, answers: DataFrame) -> DataFrame:
+    """Tokens with a model's answers (doc_id, start, ...). Null ids meet null ids; of several answers to a place one counts."""
+    one = answers.dropDuplicates(["doc_id", "start"]).withColumnsRenamed({"doc_id": "doc_id_", "start": "start_"})
+    return tokens.join(one, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("start") == F.col("start_")), "left").drop("doc_id_", "start_")
+
+
 def apply_choices(tokens: DataFrame, choices: DataFrame | None, statuses: list[str], status: str) -> DataFrame:
     """A scorer's choices (doc_id, start, sig) for tokens of given statuses; those outside the candidates are passed over."""
     if choices is None:
         return tokens
-    joined = tokens.join(choices.select("doc_id", "start", F.col("sig").alias("chosen")), ["doc_id", "start"], "left")
+    joined = _answered(tokens, choices.select("doc_id", "start", F.col("sig").alias("chosen")))
     asked = F.col("status").isin(statuses) & (F.size("candidates") >= 2) & F.array_contains("candidates", F.col("chosen"))
     return _decide(joined, asked, T.apply_signature("word", "chosen"), status).drop("chosen")
 
@@ -129,7 +158,7 @@ def apply_decisions(tokens: DataFrame, decisions: DataFrame | None) -> DataFrame
     if decisions is None:
         return tokens.withColumns({"scores": F.lit(None).cast("map<string,double>"), "margin": F.lit(None).cast("double")})
     d = decisions.select("doc_id", "start", F.col("sig").alias("chosen"), "decision", "scores", "margin")
-    j = tokens.join(d, ["doc_id", "start"], "left").withColumn("made", F.when(F.array_contains("candidates", F.col("chosen")), T.apply_signature("word", "chosen")))
+    j = _answered(tokens, d).withColumn("made", F.when(F.array_contains("candidates", F.col("chosen")), T.apply_signature("word", "chosen")))
     open_, said = F.col("status") == "model_ineligible", F.col("decision")
     status = (
         F.when(open_ & (said == "selected"), F.when(F.col("made").isNotNull(), "stressed").otherwise("invalid_candidate"))
@@ -143,21 +172,24 @@ def apply_decisions(tokens: DataFrame, decisions: DataFrame | None) -> DataFrame
 
 def mark_tokens(
     docs: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None = None, on_ambiguity: str = "default", decisions: DataFrame | None = None,
-    morphology=None, choices: DataFrame | None = None, combiner=None, id_col: str = "doc_id", text_col: str = "text",
+    morphology=None, choices: DataFrame | None = None, combiner=None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True,
 ) -> DataFrame:
     """All tiers in order: one row for each word (and a last one a document, with a null word).
 
     `morphology` and `combiner` take and return the token table; `decisions` and `choices` are score tables.
+    Without `offsets`, and without models, the tokens are not shuffled.
     """
     if on_ambiguity not in ("default", "preserve"):
         raise ValueError("on_ambiguity must be 'default' or 'preserve'")
-    tokens = with_offsets(explode_words(docs, id_col, text_col).repartition("doc_id"))
-    tokens = apply_decisions(classify(tokens, lexicon), decisions)
+    tokens = with_initial(explode_words(docs, id_col, text_col))
+    words = tokens.where("word is not null").select("word", "initial").distinct()
+    if offsets or not (decisions is choices is morphology is combiner is None):
+        tokens = with_offsets(tokens)
+    tokens = tokens.join(sendable(word_decisions(words, lexicon, suffixes)), ["word", "initial"], "left")
+    tokens = apply_decisions(tokens, decisions)
     if morphology is not None:
         tokens = morphology(tokens)
-    tokens = prepositional_shift(tokens)
-    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(A.WORD), F.lit(0))).alias("word")).distinct()
-    tokens = fall_back(tokens.join(unknown_words(words, lexicon, suffixes), "word", "left"))
+    tokens = fall_back(prepositional_shift(tokens))
     tokens = apply_choices(tokens, choices, ["ambiguous", "model_ineligible", "stressed"], "token_model")
     if on_ambiguity == "default":
         tokens = dictionary_default(tokens)
@@ -167,6 +199,7 @@ def mark_tokens(
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:
-    """(doc_id, text): gaps and outputs in order."""
+    """(row, doc_id, text): gaps and outputs in order, for each document row."""
     piece = F.struct("k", F.concat("gap", F.coalesce("output", F.lit(""))).alias("x"))
-    return tokens.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["x"]), "").alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["x"]), "")
+    return tokens.groupBy("row").agg(F.first("doc_id").alias("doc_id"), whole.alias("text"))

@@ -1,25 +1,38 @@
-"""Tokens of documents as rows, one exchange for all that follows."""
+"""Tokens of documents as rows.
+
+A text is cut once into words and the gaps before them; what a rule needs of the word before is put beside
+each word while they are still an array, so a token table is shuffled for offsets alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dzvin.functions import alphabet as A
+from dzvin.functions.text import let
+
+
+def _cut(text: Column) -> Column:
+    """Structs (gap, word, previous): a gap more than words."""
+    words = F.regexp_extract_all(text, F.lit(A.WORD), F.lit(0))
+    none = F.array(F.lit(None).cast("string"))
+    return let(words, lambda w: F.arrays_zip(F.split(text, A.WORD, -1).alias("gap"), w.alias("word"), F.concat(none, w).alias("previous")))
 
 
 def explode_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k, gap, word): each word with the text since the one before. A last row with a null word has
-    the rest of the text, so gaps and words in order of k are the text. Null texts are empty; ids are unique.
+    """(row, doc_id, k, gap, word, previous): each word with the text since the one before. A last row with a null word
+    has the rest of the text, so gaps and words in order of k are the text. Null texts are empty. `row` is a
+    number for each document row, so null and repeated ids are documents of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(A.WORD), F.lit(0))
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.arrays_zip(F.split(text, A.WORD, -1).alias("gap"), words.alias("word")).alias("z"))
-    return cut.select("doc_id", F.posexplode("z").alias("k", "z")).select("doc_id", "k", "z.gap", "z.word")
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _cut(text).alias("z"))
+    # Outer: otherwise Spark puts a filter on the array below, which would cut each text twice.
+    return cut.select("row", "doc_id", F.posexplode_outer("z").alias("k", "z")).select("row", "doc_id", "k", "z.gap", "z.word", "z.previous")
 
 
 def by_place() -> Window:
-    return Window.partitionBy("doc_id").orderBy("k")
+    return Window.partitionBy("row").orderBy("k")
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dzvin.functions import alphabet as A
 from dzvin.functions import text as T
 from dzvin.operators.lexicon import build_lexicon, lookup_rows
+from dzvin.operators.tables import made_once
 
 # The transliteration, lower and upper case.
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyzéèêóíñçüäöß", "абцдефгхійклмнопярстувьхизєїюоіґчюяєщ"
@@ -57,15 +58,16 @@ def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_lexicon(lexicon_rows(spark, sf_dir))
+    """Made once, as an engine's is on opening."""
+    return made_once(build_lexicon(lexicon_rows(spark, sf_dir)))
 
 
-def suffixes(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
+def suffixes(lex: DataFrame, least: int = 5) -> DataFrame:
     """(suffix, from_end): of each three last letters seen in so many forms or more, the most frequent vowel from the end."""
-    one = lexicon(spark, sf_dir).select("form", (T.vowel_count("form") - 1 - F.get("candidates", F.lit(0)).cast("int")).alias("from_end"))
+    one = lex.select("form", (T.vowel_count("form") - 1 - F.get("candidates", F.lit(0)).cast("int")).alias("from_end"))
     counted = one.select(F.expr("right(form, 3)").alias("suffix"), "from_end").groupBy("suffix", "from_end").agg(F.count("*").alias("n"))
     best = counted.groupBy("suffix").agg(F.min(F.struct((-F.col("n")).alias("n"), "from_end")).alias("x"), F.sum("n").alias("n"))
-    return best.where(F.col("n") >= least).select("suffix", F.col("x.from_end").alias("from_end"))
+    return made_once(best.where(F.col("n") >= least).select("suffix", F.col("x.from_end").alias("from_end")))
 
 
 def q(text: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dzvin.functions import alphabet as A
 from dzvin.functions import text as T
 from dzvin.operators import combiner, lexicon, metrics, morphology, scoring, segment, spans, tiers, tokens
+from dzvin.operators.tables import sendable
 from dzvin.plans import corpus as C
 from dzvin.plans.engine import SpeechFrontend, StressEngine
 
@@ -163,7 +164,7 @@ def drop_subsumed(spark, sf_dir):
 @query(f"{_LEX} SELECT t.doc_id, t.start, t.word, array_to_string(l.candidates, ',') AS candidates FROM tokens t LEFT JOIN lexicon l ON l.form = {C.key_sql('t.word')}")
 def lexicon_lookup_join(spark, sf_dir):
     t = tokens.word_tokens(C.documents(spark, sf_dir)).withColumn("form", T.lookup_key("text"))
-    j = t.join(lexicon.sendable(C.lexicon(spark, sf_dir).select("form", "candidates")), "form", "left")
+    j = t.join(sendable(C.lexicon(spark, sf_dir).select("form", "candidates")), "form", "left")
     return j.select("doc_id", "start", F.col("text").alias("word"), _joined("candidates").alias("candidates"))
 
 
@@ -174,13 +175,14 @@ def _base(spark, sf_dir) -> DataFrame:
     return tokens.with_offsets(tokens.explode_words(C.documents(spark, sf_dir)))
 
 
-def _classified(spark, sf_dir) -> DataFrame:
-    return tiers.classify(_base(spark, sf_dir), C.lexicon(spark, sf_dir)).where("word is not null")
+def _classified(spark, sf_dir, offsets: bool = True) -> DataFrame:
+    t = tokens.explode_words(C.documents(spark, sf_dir))
+    return tiers.classify(tokens.with_offsets(t) if offsets else t, C.lexicon(spark, sf_dir)).where("word is not null")
 
 
 @query(f"{_CLS} SELECT st AS status, count(*) AS n FROM status1 GROUP BY 1")
 def token_class_counts(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return _classified(spark, sf_dir, offsets=False).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"{_CLS} SELECT doc_id, start, word, initial FROM initial")
@@ -238,8 +240,10 @@ _LONGEST = (
 
 @query(f"{_CLS}, {C.SUFFIXES}, {_UNKNOWN}, {_LONGEST} SELECT word, sig FROM longest")
 def suffix_longest(spark, sf_dir):
-    unknown = _classified(spark, sf_dir).where("status = 'not_found'").select("word").distinct()
-    return tiers.longest_suffix(unknown, C.suffixes(spark, sf_dir))
+    lex = C.lexicon(spark, sf_dir)
+    t = tiers.with_initial(tokens.explode_words(C.documents(spark, sf_dir))).where("word is not null").select("word", "initial").distinct()
+    unknown = tiers.classify_words(t, lex).where("status = 'not_found'").select("word").distinct()
+    return tiers.longest_suffix(unknown, C.suffixes(lex))
 
 
 _COUNTS = f"list_transform(string_split_regex(word, '[{A.BREAK_CLASS}]'), lambda s: length(regexp_replace(s, '[^{A.COUNTED}]', '', 'g')))"
@@ -279,7 +283,8 @@ _FINAL = (
 
 
 def _engine(spark, sf_dir) -> StressEngine:
-    return StressEngine(C.lexicon(spark, sf_dir), C.suffixes(spark, sf_dir))
+    lex = C.lexicon(spark, sf_dir)
+    return StressEngine(lex, C.suffixes(lex))
 
 
 def _no_breaks(df: DataFrame, c: str) -> DataFrame:
@@ -365,7 +370,7 @@ def fit_to_window(spark, sf_dir):
 @query("SELECT conv_id, turn, text FROM conversations")
 def fit_lossless(spark, sf_dir):
     docs = C.table(spark, sf_dir, "conversations")
-    return docs.select("conv_id", "turn", segment.join_chunks(segment.fit_to_window(F.col("text"), 8)).alias("text"))
+    return segment.with_chunks(docs, "text", 8).select("conv_id", "turn", segment.join_chunks(F.col("chunks")).alias("text"))
 
 
 @query()
@@ -380,7 +385,7 @@ def assemble(spark, sf_dir):
     lines = C.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     found = lines.withColumn("spans", spans.detect_spans("text"))
     said = F.transform("spans", lambda s: F.concat(F.lit("‹"), s["text"], F.lit("›")))
-    return found.select("doc_id", "line", spans.assemble("text", "spans", said).alias("text"))
+    return found.select("doc_id", "line", "text", "spans", said.alias("said")).select("doc_id", "line", spans.assemble("text", "spans", "said").alias("text"))
 
 
 @query(

@@ -109,16 +109,30 @@ def test_morphology(spark):
         assert one(spark, T.apply_accents("w", F.array(F.col("a"))), w=word, a=at) == want
 
 
+def chunks_of(spark, texts, budget=None, counter=segment.count_words):
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = segment.with_chunks(d, "t", budget, counter).collect()
+    return [([(c.text, c.speakable) for c in r.chunks], r.warnings) for r in sorted(rows, key=lambda r: r.i)]
+
+
 def test_segmentation(spark):
-    for t in ("Це речення. А це друге!\n\nІ третє…  ", "2024 р. у Києві.", "", "  ", "а. Б. Шевченко прийшов. так", "«Так?» — спитав він."):
-        assert "".join(x for x, _ in segment.sentences(t)) == t
-        cut, _ = segment.fit(segment.sentences(t), segment.count_words, 2)
-        assert "".join(x for x, _ in cut) == t
-    assert segment.sentences("2024 р. у Києві.") == [("2024 р. у Києві.", True)]
-    assert [x for x, s in segment.sentences("Один. Два!") if s] == ["Один.", "Два!"]
+    texts = ["Це речення. А це друге!\n\nІ третє…  ", "2024 р. у Києві.", "", "  ", "а. Б. Шевченко прийшов. так", "«Так?» — спитав він.", "\n \n Так.\tНі", "Один. Два!", None]
+    for budget in (None, 2):
+        for t, (cut, _) in zip(texts, chunks_of(spark, texts, budget), strict=True):
+            assert "".join(x for x, _ in cut) == (t or "") and all(x.strip() == x and x if s else not x.strip() for x, s in cut)
+    whole = [c for c, _ in chunks_of(spark, texts)]
+    assert whole[1] == [("2024 р. у Києві.", True)] and [x for x, s in whole[7] if s] == ["Один.", "Два!"]
+    assert [x for x, s in whole[0] if s] == ["Це речення.", "А це друге!", "І третє…"] and [x for x, s in whole[5] if s] == ["«Так?»", "— спитав він."]
+    assert [x for x, s in whole[4] if s] == ["а.", "Б. Шевченко прийшов. так"]
+
+
+def test_windows(spark):
     long = "один два три, чотири п'ять шість сім; вісім дев'ять десять"
-    cut, warned = segment.fit([(long, True)], segment.count_words, 5)
+    [(cut, warned)] = chunks_of(spark, [long], 5)
     assert "".join(x for x, _ in cut) == long and all(segment.count_words(x) <= 5 for x, _ in cut) and len(warned) == 1
+    [(by_letters, warned)] = chunks_of(spark, [long + ". Так."], 20, len)
+    assert all(len(x.rstrip()) <= 20 for x, s in by_letters if s) and by_letters[-1] == ("Так.", True) and len(warned) == 1
+    assert segment.refit("а" * 50, len, 9) == ["а" * 50] and segment.refit("аб вг; де", len, 7) == ["аб вг; ", "де"]
 
 
 def test_routing(spark):
@@ -128,15 +142,34 @@ def test_routing(spark):
     assert all(r.want == r.got for r in d.select("t", "want", segment.needs_verbalization(F.col("t")).alias("got")).collect())
 
 
-def test_spans():
+def test_spans(spark):
     text = lambda s: [x for _, _, x in spans.find_spans(s)]
     assert text("На 2 поверсі є 3 кімнати та 12 дверей.") == ["2 поверсі є", "3 кімнати та", "12 дверей"]
-    assert text("Як Вічний Жид[93], і в мене також.") == ["[93]"] and text("Він відчинив замок ключем.") == []
+    assert text("Як Вічний Жид[93], і в мене також.") == ["[93]"] and text("Він відчинив замок ключем.") == [] and text("") == []
     assert text("У графі постав Так/Ні для пунктів.") == ["/Ні"]
-    s = "Як Вічний Жид[93], і в мене також."
-    assert spans.place_outputs(s, spans.find_spans(s), [""]) == "Як Вічний Жид, і в мене також."
-    s = "У графі постав Так/Ні для пунктів."
-    assert spans.place_outputs(s, spans.find_spans(s), ["слеш Ні"]) == "У графі постав Так слеш Ні для пунктів."
+    cases = [("Як Вічний Жид[93], і в мене також.", [""], "Як Вічний Жид, і в мене також."), ("У графі постав Так/Ні для пунктів.", ["слеш Ні"], "У графі постав Так слеш Ні для пунктів."), (None, [], ""), (" 5 ", ["п'ять"], "п'ять")]
+    rows = [(t, [tuple(x) for x in spans.find_spans(t or "")], o, want) for t, o, want in cases]
+    d = spark.createDataFrame(rows, "t string, s array<struct<start:int,end:int,text:string>>, o array<string>, want string")
+    assert all(r.got == r.want for r in d.select("want", spans.assemble("t", "s", "o").alias("got")).collect())
+    with pytest.raises(Exception, match="one output for each span"):
+        d.limit(1).select(spans.assemble("t", "s", F.array().cast("array<string>"))).collect()
+
+
+def test_islands():
+    import numpy as np
+
+    a, z = spans.islands(np.array([5, 0, 9, 3, 20]), np.array([6, 4, 12, 5, 22]), lambda end, start: end == 6)
+    assert (a.tolist(), z.tolist()) == ([0, 20], [12, 22])
+
+
+@pytest.mark.parametrize("word", ["а" * 200_000, "а-" * 50_000 + "а", "б'" * 50_000 + "а" + "-" * 3000, "й" * 3000])
+def test_long_words(spark, word):
+    """Patterns must not recurse once a letter; a stack overflow would end the JVM."""
+    d = spark.createDataFrame([(word,)], "w string")
+    got = d.select(T.lookup_key("w").alias("key"), T.char_problem("w").alias("problem"), T.stress_signature("w").alias("sig"), segment.needs_verbalization(F.concat("w", F.lit("."))).alias("needs")).first()
+    assert got.problem is None and got.sig is None and not got.needs
+    [t] = tokens.word_tokens(d.select(F.lit(1).alias("doc_id"), F.col("w").alias("text"))).collect()
+    assert t.text == word.rstrip("-")
 
 
 def test_targets(spark):
