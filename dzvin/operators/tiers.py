@@ -29,14 +29,15 @@ def classify_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     keyed = words.withColumn("key", T.lookup_key("word"))
     found = keyed.join(sendable(lexicon.select(F.col("form").alias("key"), F.col("candidates").alias("all"), "proper")), "key", "left")
     word = F.col("word")
-    needs = ~word.contains(A.ACUTE) & (T.vowel_count("word") > 0)
+    found = found.withColumn("vowels", F.length(F.regexp_replace("key", "[^аеєиіоуюя]", "")))
+    needs = ~word.contains(A.ACUTE) & (F.col("vowels") > 0)
     own = F.when(needs & (F.size("all") > 0), T.by_capitalisation(F.col("all"), F.col("proper"), word, F.col("initial")))
     found = found.withColumn("candidates", own)
     one = F.when(F.size("candidates") == 1, T.render("word", F.get("candidates", F.lit(0))))
     found = found.withColumn("one", one)
     status = (
         F.when(word.contains(A.ACUTE), "already_stressed")
-        .when(T.vowel_count("word") == 0, "not_required")
+        .when(F.col("vowels") == 0, "not_required")
         .when(F.col("candidates").isNull() | (F.size("candidates") == 0), "not_found")
         .when(F.size("candidates") > 1, "model_ineligible")
         .when(F.col("one").isNull(), "invalid_candidate")
@@ -110,7 +111,7 @@ def word_decisions(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | N
     lost = made_once(unknown_words(made_once(known.where("status = 'not_found'").select("word").distinct()), lexicon, suffixes))
     kind = F.when(F.col("compound").isNotNull(), "compound").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("by_place").isNotNull(), "default_position")
     lost = lost.select("word", F.coalesce("compound", "by_suffix", "by_place").alias("by_word"), kind.alias("by_word_status"))
-    first = F.when(F.col("status").isin("model_ineligible", "stressed"), T.render("word", F.get("candidates", F.lit(0))))
+    first = F.when(F.col("status") == "model_ineligible", T.render("word", F.get("candidates", F.lit(0))))
     return made_once(known.join(sendable(lost), "word", "left").withColumn("by_default", first))
 
 
