@@ -45,10 +45,6 @@ def _weak_kind(m: Column) -> Column:
     return F.when(m.startswith("\n"), "break").when(m.rlike(f"^{ENDPOINT}$"), "weak_endpoint").when(m.rlike(f"^{IDENT}$"), "weak_id").when(labelled | mixed, "weak_secret")
 
 
-def has_parts(text: Column) -> Column:
-    return text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(WEAK)
-
-
 def parts(text: Column) -> Column:
     """All matches of a text, as one array."""
     none = F.array().cast("array<struct<family:int,k:int,gap:int,len:int,kind:string>>")
@@ -117,15 +113,14 @@ def listing(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", size_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns; each run of overlapping spans in the text is replaced by a mark.
 
-    A length column, if there is one of that name, is set anew for changed rows. Rows without parts are
-    passed on by a filter; the others are materialised once and meet their spans by a row number.
+    A length column, if there is one of that name, is set anew for changed rows. The patterns run once over each
+    text; rows meet their spans by a row number, so null and repeated ids stay apart. `docs` is read twice and
+    must give its rows in the same order, as a stored table does.
     """
-    asks = F.coalesce(has_parts(F.col(text_col)), F.lit(False))
-    some = docs.where(asks)
     n = len(docs.columns)
-    held = cut_lineage(some.toDF(*(f"c{k}" for k in range(n))).withColumn("row", F.monotonically_increasing_id()))
+    held = docs.toDF(*(f"c{k}" for k in range(n))).withColumn("row", F.monotonically_increasing_id())
     text = f"c{docs.columns.index(text_col)}"
-    found = link(held.select("row", F.explode(parts(F.col(text))).alias("part"))).where(F.size("spans") > 0)
+    found = cut_lineage(link(held.select("row", F.explode(parts(F.coalesce(F.col(text), F.lit("")))).alias("part"))).where(F.size("spans") > 0))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("made"))
 
     def step(a: Column, s: Column) -> Column:
@@ -139,4 +134,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     for k, f in enumerate(docs.schema):
         col = made if k == docs.columns.index(text_col) else F.when(F.col("spans").isNull(), F.col(f"c{k}")).otherwise(F.length(made)) if f.name == size_col else F.col(f"c{k}")
         out.append(col.cast(f.dataType).alias(f.name))
-    return docs.where(~asks).union(joined.select(*out))
+    return joined.select(*out)
