@@ -232,107 +232,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _add_sets(docs: DataFrame, text_col: str, words: int, whole: bool = False) -> DataFrame:
-    """All columns, the fingerprint `f`, a digest `g` of all shingles (equal ones are the same shingles as often) and, if `whole`, their set `s`, sorted."""
-    ship(docs.sparkSession)
-    docs_columns, at = docs.columns, docs.columns.index(text_col)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*(f"c{k}" for k in range(len(docs_columns))), "f", "g"] + ["s"] * whole
-        for b in batches:
-            h = [np.sort(shingles(t.as_py(), words)) for t in b.column(at)]
-            made = [pa.array(np.array(x, U64).view(np.int64)) for x in (list(map(_majority, h)), [xxhash.xxh64_intdigest(x.tobytes()) for x in h])]
-            if whole:
-                made.append(pa.array([np.unique(x).view(np.int64) for x in h], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
-
-    fields = [f"`c{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)] + ["f long", "g long"] + ["s array<long>"] * whole
-    return docs.toDF(*(f"c{k}" for k in range(len(docs_columns)))).mapInArrow(add, ", ".join(fields)).toDF(*docs_columns, "f", "g", *["s"] * whole)
-
-
-def similar_pieces(f: np.ndarray, sets: list[np.ndarray], distance: int, similarity: float) -> np.ndarray:
-    """The first row of each row's component, linked where both fingerprints and shingle sets are near enough.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component of fingerprints, all columns as they are: that with the smallest id.
 
-    As in `_forest` each row looks only at rows that none has reached, so that a group of near copies is
-    compared with few of its rows; no link is left out.
-    """
-    size = np.array([len(x) for x in sets], np.int64)
-    first, flat = np.cumsum(size) - size, np.concatenate(sets)
-    piece, left = np.arange(len(f)), np.arange(len(f))
-
-    def jaccard(x: int, rows: np.ndarray) -> np.ndarray:
-        own, n = sets[x], size[rows]
-        at = np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)
-        hit = own[np.minimum(np.searchsorted(own, flat[at]), len(own) - 1)] == flat[at]
-        both = np.bincount(np.repeat(np.arange(len(rows)), n), hit, len(rows))
-        return both / (len(own) + n - both)
-
-    while len(left):
-        root, front, left = left[0], [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            # A similarity is at most the ratio of the sizes.
-            near = np.bitwise_count(f[left] ^ f[x]) <= distance
-            near &= np.minimum(size[left], size[x]) / np.maximum(np.maximum(size[left], size[x]), 1) >= similarity
-            rows = left[near]
-            good = np.zeros(len(rows), bool)
-            # Blocks of about four million shingles.
-            block = np.cumsum(size[rows]) >> 22
-            for k in np.unique(block) if size[x] else ():
-                good[block == k] = jaccard(x, rows[block == k]) >= similarity
-            near[near] = good
-            piece[rows[good]] = root
-            front.extend(rows[good])
-            left = left[~near]
-    return piece
-
-
-def _verified(docs: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
-    """(doc_id, text) -> g, low, piece: each distinct run of shingles, its smallest id and its component."""
-    prints = cut_lineage(_add_sets(docs, "text", words).select("doc_id", "f", "g"))
-    nodes = cut_lineage(prints.groupBy("g").agg(F.min("f").alias("f"), F.min("doc_id").alias("low")))
-    labels = connected_components(link_fingerprints(nodes.select("f").distinct(), distance))
-    labelled = cut_lineage(nodes.join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", "f")))
-    asked = cut_lineage(labelled.join(labelled.groupBy("label").count().where("count > 1"), "label", "left_semi"))
-    # One text for each: that of a row with the smallest id.
-    ids = asked.select(F.col("low").alias("i")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    one = asked.select("label", F.col("g").alias("h"), "low")
-    sets = _add_sets(texts, "text", words, whole=True).join(one, (F.col("g") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("label", "f", "g", "s").dropDuplicates(["g"])
-
-    def cut(group: pa.Table) -> pa.Table:
-        f, g = (group[k].to_numpy() for k in ("f", "g"))
-        s = group["s"].combine_chunks()
-        s = s.combine_chunks() if isinstance(s, pa.ChunkedArray) else s
-        at, flat = s.offsets.to_numpy(), s.values.to_numpy().view(U64)
-        piece = similar_pieces(f.view(U64), [flat[a:z] for a, z in zip(at[:-1], at[1:], strict=True)], distance, similarity)
-        return pa.table({"g": pa.array(g), "piece": pa.array(g[piece])})
-
-    pieces = sets.groupBy("label").applyInArrow(cut, "g long, piece long")
-    return cut_lineage(labelled.join(pieces, "g", "left").select("g", "low", F.coalesce("piece", "g").alias("piece")))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
-    """One row of each component, all columns as they are: that with the smallest id.
-
-    With a `similarity`, fingerprints only propose: rows are linked if their sets of shingles have that Jaccard
-    similarity too, computed on the whole sets of each component of fingerprint links, which is one group.
-
-    Where several rows have that id and fingerprint (with a similarity: shingles), one of them stays. Of
-    components with null ids alone one row of each fingerprint (shingles) stays.
+    Where several rows have that id and fingerprint, one of them stays. Of components with null ids alone one
+    row of each fingerprint stays.
     """
     n = len(docs.columns)
-    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    key = f"c{docs.columns.index(id_col)}"
     plain = docs.toDF(*(f"c{k}" for k in range(n)))
-    if similarity is None:
-        found = near_duplicates(docs, id_col, text_col, words, distance)
-        first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-        first = first.unionByName(found.where("component_id is null").select("doc_id", "fp").distinct())
-        printed = add_fingerprint(plain, text, "f", words)
-    else:
-        nodes = _verified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, distance, similarity)
-        named = nodes.where("low is not null").groupBy("piece").agg(F.min(F.struct("low", "g")).alias("x"))
-        first = named.select("x.low", "x.g").unionByName(nodes.join(named, "piece", "left_anti").select("low", "g"))
-        printed = _add_sets(plain, text, words).drop("f").withColumnRenamed("g", "f")
+    found = near_duplicates(docs, id_col, text_col, words, distance)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    first = first.unionByName(found.where("component_id is null").select("doc_id", "fp").distinct())
+    printed = add_fingerprint(plain, f"c{docs.columns.index(text_col)}", "f", words)
     kept = printed.join(first.toDF("i", "g"), (F.col("f") == F.col("g")) & F.col(key).eqNullSafe(F.col("i")), "left_semi")
     return kept.dropDuplicates(["f", key]).drop("f").toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dzvin.llm import decontam, packing, quality_lr, rules, secrets, sharding, simhash, sst, toxicity, warc
+from dzvin.llm import decontam, nearsets, packing, quality_lr, rules, secrets, sharding, simhash, sst, toxicity, warc
 from dzvin.llm.common import Words, steps
 from dzvin.llm.components import connected_components
 from dzvin.llm.tokens import ByteEncoder, WordEncoder
@@ -152,6 +152,13 @@ def test_redaction_replaces_all_spans_and_nothing_else(spark):
         assert not found[i] or got[i].n_chars == len(want)
 
 
+def test_redaction_of_null_and_repeated_ids(spark):
+    rows = [(None, "password: abcdef1", 17), (None, None, None), (3, "plain", 5), (3, "token=zzzzzz9 token=yyyyyy8", 27), (3, "token=zzzzzz9 token=yyyyyy8", 27), (4, "", 0)]
+    got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()
+    want = [(None, "[SECRET]", 8), (None, None, None), (3, "plain", 5), (3, "[SECRET] [SECRET]", 17), (3, "[SECRET] [SECRET]", 17), (4, "", 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_revisits(spark):
     h = {"etag": '"a"', "content-length": "9", "cache-control": "x"}
     rows = [
@@ -569,50 +576,86 @@ def test_links_lose_nothing(spark, hot, bits):
     assert groups(a) == groups(b)
 
 
-def test_near_fingerprints_alone_drop_nothing(spark):
-    """Rows go only by links that hold in the shingle sets too, like a plain search over all pairs."""
-    r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
-    # Two shingles each: a quarter of the bits set, so some unrelated ones are near by chance.
-    short = [" ".join(word() for _ in range(6)) for _ in range(4000)]
-    p = np.array([simhash.fingerprint(t, 5) for t in short], np.uint64)
-    chance = sorted({k for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p ^ p[i]) <= 7).tolist() if i != j for k in (i, j)})
-    assert chance
-    all_ = [short[k] for k in chance] + [None, "", " ", "one", "one two"]
-    for _ in range(6):
-        base = [word() for _ in range(120)]
-        for edits in (0, 0, 1, 2, 3, 5, 8):
+def plain_set(t: str | None) -> frozenset:
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_corpus(seed: int, groups: int) -> list[str]:
+    """Texts, each with variants of 0 to 12 changed words."""
+    r, out = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(r.randint(30, 220))]
+        for _ in range(r.choice([1, 1, 2, 3, 5])):
             t = list(base)
-            for at in r.sample(range(120), edits):
-                t[at] = word()
-            all_.append(" ".join(t))
-    sets = [set(simhash.shingles(t, 5).tolist()) for t in all_]
-    prints = [simhash.fingerprint(t, 5) for t in all_]
-    root = list(range(len(all_)))
+            for _ in range(r.choice([0, 1, 1, 2, 4, 8, 12])):
+                t[r.randrange(len(t))] = f"x{r.randint(0, 10**6)}"
+            out.append(" ".join(t))
+    return out
+
+
+def test_shingle_sets_are_those_of_the_rule():
+    col = ODD + ["A b C d E", "a b c d e", "a b", "a  b", "one two three four five one two three four five"]
+    sets, first = nearsets.shingle_sets(pa.array(col, pa.string()))
+    got = [frozenset(sets[a:z].tolist()) for a, z in zip(first[:-1], first[1:], strict=True)]
+    want = [plain_set(t) for t in col]
+    assert list(map(len, got)) == list(map(len, want))
+    for i in range(len(col)):
+        for j in range(i):
+            assert jaccard(got[i], got[j]) == jaccard(want[i], want[j])
+
+
+def test_near_rows_are_linked_and_others_stay(spark):
+    """Against all pairs: at least 0.95 of those at 0.8 or more are in one group, and none is joined without a chain of such links."""
+    texts_ = near_corpus(5, 260) + [None, "", " ", "short one", "short one", "Short  ONE"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts_)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row string, t string, n int").repartition(3)
+    d = spark.read.parquet(stored_at(d))
+    kept = {r.doc_id for r in nearsets.keep_first(d).collect()}
+    sets = list(map(plain_set, texts_))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    labels = list(range(len(sets)))
 
     def top(i):
-        while root[i] != i:
-            i = root[i]
+        while labels[i] != i:
+            i = labels[i]
         return i
 
-    linked = 0
-    for i in range(len(all_)):
-        for j in range(i):
-            near = (prints[i] ^ prints[j]).bit_count() <= 7
-            if near and (not (sets[i] | sets[j]) or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
-                a, b = sorted((top(i), top(j)))
-                root[b], linked = a, linked + (sets[i] != sets[j])
-    assert linked
-    want = [i for i in range(len(all_)) if root[i] == i]
-    d = spark.createDataFrame(list(enumerate(all_)), "doc_id long, text string").repartition(3)
-    got = simhash.keep_first(d, words=5, distance=7, similarity=0.8)
-    assert sorted(x.doc_id for x in got.collect()) == want
-    assert len(want) > simhash.keep_first(d, words=5, distance=7).count()
-    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
-    assert sorted(x.doc_id for x in stage(spark, d, "").collect()) == want
-    odd = spark.createDataFrame([(None, all_[-1]), (None, all_[-1]), (3, all_[-1]), (3, all_[-1]), (None, "alone"), (None, "alone")], "doc_id long, text string")
-    assert sorted((x.doc_id or 0, x.text) for x in simhash.keep_first(odd, words=5, distance=7, similarity=0.8).collect()) == [(0, "alone"), (3, all_[-1])]
-    assert simhash.keep_first(d.limit(0), words=5, distance=7, similarity=0.8).collect() == []
+    for i, j in links:
+        a, b = sorted((top(i), top(j)))
+        labels[b] = a
+    groups = {top(i) for i in range(len(sets))}
+    assert groups <= kept and len(groups) < len(sets) - 100
+    assert len(kept) - len(groups) <= 0.05 * (len(sets) - len(groups))
+
+
+def stored_at(d) -> str:
+    import tempfile
+
+    path = tempfile.mkdtemp() + "/t"
+    d.write.parquet(path)
+    return path
+
+
+def test_a_large_group_is_compared_row_by_row(spark):
+    """Thousands of near copies: a few comparisons for each, one row left."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts_ = []
+    for k in range(1500):
+        t = list(base)
+        t[r.randrange(120)] = f"y{k}"
+        texts_.append(" ".join(t))
+    d = spark.read.parquet(stored_at(spark.createDataFrame([(i, t) for i, t in enumerate(texts_)] + [(None, texts_[0]), (0, texts_[1])], "doc_id long, text string")))
+    assert [x.doc_id for x in nearsets.keep_first(d).collect()] == [0]
+
+
+def test_near_rows_of_an_empty_table(empty):
+    assert nearsets.keep_first(empty).collect() == [] and nearsets.keep_first(empty).columns == empty.columns
 
 
 def test_components_of_a_long_path_and_a_star(spark):
