@@ -350,14 +350,28 @@ def caps_run(spark, sf_dir):
     return _lines(spark, sf_dir).select("line", segment.caps_run(F.col("line")).alias("run"))
 
 
-@query("SELECT doc_id, text FROM documents")
+_CLOSING, _SPACES = "[.!?…]+[\"''»”’)\\]]*$", "[ \\t\\n\\x0B\\f\\r]+"
+_CHUNKED = (
+    f"wg AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w, string_split_regex(text, '{_SPACES}') AS w0, regexp_extract_all(text, '{_SPACES}') AS g0, regexp_matches(text, '^{_SPACES}') AS lead_ FROM docs), "
+    "tk AS (SELECT doc_id, i, w[i] AS word, w[i + 1] AS nxt, len(w) AS n, coalesce(CASE WHEN lead_ THEN g0[i + 1] ELSE g0[i] END, '') AS gap FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM wg)), "
+    f"bare AS (SELECT *, trim(regexp_replace(word, '{_CLOSING}', ''), '\"''«»“”‘’()[]') AS b FROM tk), "
+    f"ends AS (SELECT *, nxt IS NULL OR contains(gap, chr(10)) OR (regexp_matches(word, '{_CLOSING}') AND NOT (lower(b) IN ({_ABBR}) OR regexp_matches(b, '^\\p{{Lu}}$')) AND NOT regexp_matches(nxt, '^\\p{{Ll}}')) AS stop FROM bare), "
+    "grp AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends), "
+    "sent AS (SELECT doc_id, s, string_agg(word || CASE WHEN stop THEN '' ELSE gap END, '' ORDER BY i) AS text, max(CASE WHEN stop THEN gap END) AS gap FROM grp GROUP BY doc_id, s), "
+    "pieces AS (SELECT doc_id, s, 0 AS j, text, true AS speakable FROM sent UNION ALL SELECT doc_id, s, j, p[j], false FROM (SELECT doc_id, s, regexp_extract_all(gap, '\\n+|[^\\n]+') AS p, unnest(generate_series(1, len(p))) AS j FROM sent) "
+    "UNION ALL SELECT doc_id, -1, j, p[j], false FROM (SELECT doc_id, regexp_extract_all(CASE WHEN lead_ THEN g0[1] ELSE '' END, '\\n+|[^\\n]+') AS p, unnest(generate_series(1, len(p))) AS j FROM wg))"
+)
+
+
+@query(f"WITH {C.DOCS.replace('translate(text, ' + chr(39) + C.FROM + chr(39) + ', ' + chr(39) + C.TO + chr(39) + ')', 'text')}, {_CHUNKED} SELECT doc_id, count(*) AS chunks, count_if(speakable) AS sentences, string_agg(CASE WHEN speakable THEN text END, '|' ORDER BY s, j) AS spoken FROM pieces GROUP BY doc_id")
 def split_sentences(spark, sf_dir):
-    """Joined again, the chunks are the text."""
-    docs = C.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", segment.join_chunks(segment.split_sentences("text")).alias("text"))
+    """The sentences of the texts as they are."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", segment.split_sentences("text").alias("c"))
+    spoken = F.filter("c", lambda x: x["speakable"])
+    return docs.where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("chunks"), F.size(spoken).cast("long").alias("sentences"), F.array_join(F.transform(spoken, lambda x: x["text"]), "|").alias("spoken"))
 
 
-@query()
+@query(f"WITH {C.DOCS}, {_CHUNKED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, j) - 1 AS pos, text, speakable FROM pieces")
 def sentence_chunks(spark, sf_dir):
     return segment.chunk_rows(C.documents(spark, sf_dir))
 
@@ -388,26 +402,22 @@ def assemble(spark, sf_dir):
     return found.select("doc_id", "line", "text", "spans", said.alias("said")).select("doc_id", "line", spans.assemble("text", "spans", "said").alias("text"))
 
 
-@query(
-    f"WITH {C.TOKENS}, x AS (SELECT t.doc_id, t.start, t.word, left(d.text, CAST(t.start AS BIGINT)) AS l, substring(d.text, CAST(t.\"end\" AS BIGINT) + 1) AS r FROM tokens t JOIN docs d USING (doc_id) WHERE t.k = 0), "
-    "y AS (SELECT *, string_split(l, ' ') AS ls, string_split(r, ' ') AS rs FROM x) "
-    "SELECT doc_id, start, array_to_string(CASE WHEN len(ls) > 41 THEN ls[-41:] ELSE ls END, ' ') || '[[' || word || ']]' || array_to_string(rs[1:41], ' ') AS input FROM y"
-)
+@query()
 def model_input(spark, sf_dir):
-    """The first word of each document as a span."""
-    docs = C.documents(spark, sf_dir)
-    t = tokens.with_offsets(tokens.explode_words(docs)).where("k = 0 and word is not null").select("doc_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("word").alias("text")).alias("span"))
-    return docs.join(t, "doc_id").select("doc_id", F.col("span.start").cast("long").alias("start"), spans.model_input(F.col("text"), F.col("span")).alias("input"))
+    """Every span of every line, marked in its line."""
+    lines = C.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    found = lines.select("doc_id", "line", "text", F.explode(spans.detect_spans("text")).alias("span"))
+    return found.select("doc_id", "line", F.col("span.start").alias("start"), spans.model_input(F.col("text"), F.col("span")).alias("input"))
 
 
 @query(
-    f"WITH {C.TOKENS}, x AS (SELECT t.doc_id, t.start, t.\"end\", greatest(0, t.start - 300) AS lo, d.text FROM tokens t JOIN docs d USING (doc_id) WHERE t.k % 50 = 0) "
+    f"{_CLS}, x AS (SELECT t.doc_id, t.start, t.\"end\", greatest(0, t.start - 300) AS lo, d.text FROM status1 t JOIN docs d USING (doc_id) WHERE st = 'model_ineligible' AND len(list_filter(candidates, lambda c: CAST(c AS INT) < 8)) >= 2) "
     "SELECT doc_id, start, substring(text, CAST(lo AS BIGINT) + 1, CAST(least(length(text), \"end\" + 300) - lo AS BIGINT)) AS around FROM x"
 )
 def context_window(spark, sf_dir):
-    """The text around every fiftieth word of a document, as a classifier sees it."""
+    """The text around every word that a classifier is asked about."""
     docs = C.documents(spark, sf_dir)
-    t = tokens.with_offsets(tokens.explode_words(docs)).where("k % 50 = 0 and word is not null").select("doc_id", "start", "end", F.lit("x").alias("form"), F.array(F.lit("0"), F.lit("1")).alias("candidates"))
+    t = _classified(spark, sf_dir).where("status = 'model_ineligible'").select("doc_id", "start", "end", F.col("key").alias("form"), "candidates")
     asked = scoring.classifier_targets(docs.select("doc_id", F.col("text").alias("sentence")).join(t, "doc_id"), t, any_form=True)
     return asked.select("doc_id", "start", F.col("window").alias("around"))
 
@@ -460,15 +470,18 @@ def aspect_rule(spark, sf_dir):
 _READINGS = "readings AS (SELECT DISTINCT text AS form, length(text) % 5 AS kind FROM tagged)"
 
 
-def _with_readings(spark, sf_dir) -> DataFrame:
+def _readings(text):
     def reading(tags: list[str], accent: int):
         return F.struct(F.array(*map(F.lit, tags)).alias("tags"), F.array(F.lit(accent)).alias("accents"))
 
     plural, single = reading(["Case=Nom", "Number=Plur", "upos=NOUN"], 2), reading(["Case=Gen", "Number=Sing", "upos=NOUN"], 4)
     verb, same = reading(["VerbForm=Inf", "upos=VERB"], 6), reading(["Case=Gen", "Number=Sing", "upos=NOUN"], 2)
-    kind = F.length("text") % 5
-    readings = F.when(kind == 0, F.array(plural, verb)).when(kind == 1, F.array(plural, same)).otherwise(F.array(plural, single))
-    return _tagged(spark, sf_dir).withColumn("readings", readings)
+    kind = F.length(text) % 5
+    return F.when(kind == 0, F.array(plural, verb)).when(kind == 1, F.array(plural, same)).otherwise(F.array(plural, single))
+
+
+def _with_readings(spark, sf_dir) -> DataFrame:
+    return _tagged(spark, sf_dir).withColumn("readings", _readings(F.col("text")))
 
 
 @query(f"WITH {C.TOKENS}, {_TAGGED}, {_READINGS} SELECT form, CASE kind WHEN 0 THEN 'Case,Number,VerbForm,upos' WHEN 1 THEN '' ELSE 'Case,Number' END AS keys FROM readings")
@@ -581,10 +594,57 @@ def softmax(spark, sf_dir):
     return m.select("doc_id", "start", F.explode(T.softmax(F.col("m"))).alias("sig", "p")).select("doc_id", "start", "sig", F.round("p", 6).alias("p"))
 
 
+_RANKED = "o AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY doc_id, start ORDER BY score DESC, pos)), best AS (SELECT doc_id, start, sig, coalesce(score - nxt, 0) >= 2 AS sure FROM o WHERE rn = 1)"
+_OUTPUTS = (
+    f"CASE status WHEN 'stressed' THEN {C.plain_sql('fin.word', 'CAST(fin.candidates[1] AS INT)')} WHEN 'model_ineligible' THEN {C.plain_sql('fin.word', 'CAST(fin.candidates[1] AS INT)')} WHEN 'prepositional' THEN {C.plain_sql('fin.word', '0')} "
+    f"WHEN 'suffix' THEN {C.plain_sql('fin.word', 'CAST(fin.sig AS INT)')} WHEN 'default_position' THEN {C.plain_sql('fin.word', '(greatest(fin.vowels, 2) - 2)')} ELSE fin.word END"
+)
+
+
+def _final_sql(more: str, join: str, said: str, status: str, output: str) -> str:
+    """The rows of all tiers, where `said` holds with another status and output."""
+    return (
+        f"{_FINAL}, {more} SELECT fin.doc_id, fin.start, fin.word AS text, CASE WHEN status = 'model_ineligible' AND ({said}) THEN '{status}' WHEN status = 'model_ineligible' THEN 'dictionary_default' ELSE status END AS status, "
+        f"CASE WHEN status = 'model_ineligible' AND ({said}) THEN {output} ELSE {_OUTPUTS} END AS output_text FROM fin {join} WHERE NOT regexp_matches(fin.word, '[{A.BREAK_CLASS}]')"
+    )
+
+
+def _plain_rows(t: DataFrame) -> DataFrame:
+    return _no_breaks(t, "text").select("doc_id", "start", "text", "status", "output_text")
+
+
+@query(_final_sql(f"{_TARGETS}, {_SCORED}, {_RANKED}", "LEFT JOIN best x ON x.doc_id = fin.doc_id AND x.start = fin.start", "x.sure", "stressed", C.plain_sql("fin.word", "CAST(x.sig AS INT)")))
+def stress_decisions(spark, sf_dir):
+    """All tiers with a cross-encoder's decisions, from scores by rule."""
+    decisions = scoring.rank(_scored(spark, sf_dir), 2.0)
+    return _plain_rows(_engine(spark, sf_dir).tokens(C.documents(spark, sf_dir), decisions=decisions))
+
+
+@query(_final_sql(_TARGETS, "LEFT JOIN (SELECT doc_id, start, candidates[2] AS sig FROM targets WHERE k % 3 = 0) x ON x.doc_id = fin.doc_id AND x.start = fin.start", "x.sig IS NOT NULL", "token_model", C.plain_sql("fin.word", "CAST(x.sig AS INT)")))
+def stress_choices(spark, sf_dir):
+    """All tiers with a token classifier's choices: by rule, the second candidate of one word in three."""
+    choices = _targets(spark, sf_dir).where("k % 3 = 0").select("doc_id", "start", F.get("candidates", F.lit(1)).alias("sig"))
+    return _plain_rows(_engine(spark, sf_dir).tokens(C.documents(spark, sf_dir), choices=choices))
+
+
+@query(
+    _final_sql(
+        f"{_TAGGED}, {_TARGETS}, m AS (SELECT a.doc_id, a.start, CASE WHEN contains(feats, 'Nom') THEN 2 ELSE 4 END AS accent FROM tagged a JOIN targets b ON a.doc_id = b.doc_id AND a.start = b.start WHERE length(b.form) % 5 > 1 AND upos = 'NOUN' AND NOT contains(feats, 'Acc'))",
+        "LEFT JOIN m ON m.doc_id = fin.doc_id AND m.start = fin.start", "m.accent IS NOT NULL", "morphology", "left(fin.word, m.accent) || '́' || substring(fin.word, m.accent + 1)",
+    )
+)
+def stress_morphology(spark, sf_dir):
+    """All tiers with the morphology tier: parses and readings by rule."""
+    lex = C.lexicon(spark, sf_dir)
+    readings = lex.select("form", F.col("form").alias("text")).transform(lambda d: d.select("form", _readings(F.col("text")).alias("readings")))
+    engine = StressEngine(lex, C.suffixes(lex), morphology=morphology.morphology_tier(_tagged(spark, sf_dir), readings))
+    return _plain_rows(engine.tokens(C.documents(spark, sf_dir)))
+
+
 #: Features by rule for each candidate: a tag, readings, counts of who was heard and seen.
 _FEATURED = (
-    "feat AS (SELECT s.doc_id, s.start, s.pos, s.sig, s.score, t.word, t.k, CASE t.k % 2 WHEN 0 THEN 'Case=Gen|Number=Sing' ELSE 'Case=Nom|Number=Plur' END AS tf, CASE s.pos % 2 WHEN 0 THEN 'Gen' ELSE 'Nom' END AS rc, "
-    "upper(left(t.word, 1)) = left(t.word, 1) AS cap FROM scored s JOIN targets t USING (doc_id, start))"
+    "feat AS (SELECT doc_id, start, CAST(i - 1 AS INT) AS pos, candidates[i] AS sig, word, k, CASE k % 2 WHEN 0 THEN 'Case=Gen|Number=Sing' ELSE 'Case=Nom|Number=Plur' END AS tf, CASE (i - 1) % 2 WHEN 0 THEN 'Gen' ELSE 'Nom' END AS rc, "
+    "upper(left(word, 1)) = left(word, 1) AS cap FROM (SELECT doc_id, start, word, k, candidates, unnest(generate_series(1, len(candidates))) AS i FROM targets))"
 )
 
 
@@ -605,24 +665,27 @@ def _featured(spark, sf_dir) -> DataFrame:
 
 
 _B = lambda x: f"CAST(coalesce({x}, false) AS DOUBLE)"
-_FEATURES_SQL = ", ".join(f"{v} AS {k}" for k, v in {
+_FEATURES_SQL = {
     "mod_agree": _B("k % 2 = 0 AND rc = 'Gen'"), "mod_disagree": _B("k % 2 = 0 AND rc = 'Nom'"), "lex_rank": "CAST(pos AS DOUBLE)", "lex_first": _B("pos = 0"),
     "proper": _B("rc = 'Nom'"), "proper_x_capmid": _B("rc = 'Nom' AND cap AND k <> 0"), "proper_x_lower": _B("rc = 'Nom' AND NOT cap"), "counted_x_gensg": _B("k % 3 = 0 AND rc = 'Gen'"),
     "morph_says": _B("k % 2 = 0 AND sig = '0'"), "morph_other": _B("k % 2 = 0 AND sig <> '0'"),
     "tag_match": "CAST(contains(tf, rc) AS DOUBLE) + CAST(contains(tf, 'Sing') AS DOUBLE)", "tag_conflict": "CAST(NOT contains(tf, rc) AS DOUBLE) + CAST(NOT contains(tf, 'Sing') AS DOUBLE)",
     "upos_match": _B("rc = 'Gen'"), "xenc_p": "CASE sig WHEN '0' THEN 0.75 WHEN '1' THEN 0.25 ELSE 0.0 END::DOUBLE", "tok_p": "CASE WHEN k % 2 = 0 AND sig = '1' THEN 0.5 ELSE 0.0 END::DOUBLE", "tok_avail": _B("k % 2 = 0"),
-    "tok_minority": "CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE", "audio_share": "pos / 4", "has_sense": _B("rc = 'Gen'"), "pipe_says": _B("sig = '0'"), "pipe_says_x_stressed": _B("sig = '0' AND k % 2 = 0"),
-}.items())
-_FEATURE_NAMES = [p.rsplit(" AS ", 1)[1] for p in _FEATURES_SQL.split(", ") if " AS " in p and p.rsplit(" AS ", 1)[1] in {*combiner.NAMES, *combiner.PIPELINE_NAMES}]
+    "xenc_avail": "1.0::DOUBLE", "tok_seen_log": "CASE WHEN k % 2 = 0 THEN ln(10) ELSE 0.0 END::DOUBLE", "audio_log_n": "ln(5)::DOUBLE", "told_sense": "0.0::DOUBLE", "told_feats": "1.0::DOUBLE",
+    "tok_minority": "CASE WHEN k % 2 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE", "audio_share": "pos / 4", "has_sense": _B("rc = 'Gen'"), "pipe_says": _B("sig = '0'"),
+} | {f"pipe_says_x_{s}": _B({"stressed": "sig = '0' AND k % 2 = 0", "agreement": "sig = '0' AND k % 2 = 1"}.get(s, "false")) for s in combiner.STATUSES}
+_FEATURE_NAMES = [*combiner.NAMES, *combiner.PIPELINE_NAMES]
+_ROUNDED = ["tok_seen_log", "audio_log_n"]
 
 
-@query(f"{_CLS}, {_TARGETS}, {_SCORED}, {_FEATURED} SELECT doc_id, start, sig, {_FEATURES_SQL} FROM feat")
+@query(f"{_CLS}, {_TARGETS}, {_FEATURED} SELECT doc_id, start, sig, {', '.join((f'round({_FEATURES_SQL[n]}, 9)' if n in _ROUNDED else _FEATURES_SQL[n]) + f' AS {n}' for n in _FEATURE_NAMES)} FROM feat")
 def combiner_features(spark, sf_dir):
-    return _featured(spark, sf_dir).select("doc_id", "start", "sig", *_FEATURE_NAMES)
+    """All features of every candidate of every open word."""
+    return _featured(spark, sf_dir).select("doc_id", "start", "sig", *(F.round(n, 9).alias(n) if n in _ROUNDED else n for n in _FEATURE_NAMES))
 
 
 @query(
-    f"{_CLS}, {_TARGETS}, {_SCORED}, {_FEATURED}, n AS (SELECT doc_id, start, pos, sig, 1.5 * CAST(rc = 'Nom' AS DOUBLE) - 0.5 * pos + 0.25 * CAST(sig = '0' AS DOUBLE) AS z FROM feat), "
+    f"{_CLS}, {_TARGETS}, {_FEATURED}, n AS (SELECT doc_id, start, pos, sig, 1.5 * CAST(rc = 'Nom' AS DOUBLE) - 0.5 * pos + 0.25 * CAST(sig = '0' AS DOUBLE) AS z FROM feat), "
     "p AS (SELECT *, exp(z - max(z) OVER w) AS e, row_number() OVER (PARTITION BY doc_id, start ORDER BY z DESC, pos) AS rn FROM n WINDOW w AS (PARTITION BY doc_id, start)), "
     "q AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, start) AS p, max(CASE WHEN sig = '0' THEN e END) OVER (PARTITION BY doc_id, start) / sum(e) OVER (PARTITION BY doc_id, start) AS keep FROM p) "
     "SELECT doc_id, start, CASE WHEN keep IS NOT NULL AND p - keep < 0.2 THEN '0' ELSE sig END AS sig, round(CASE WHEN keep IS NOT NULL AND p - keep < 0.2 THEN keep ELSE p END, 6) AS probability, CASE WHEN keep IS NOT NULL AND p - keep < 0.2 THEN false ELSE sig <> '0' END AS departed FROM q WHERE rn = 1"
