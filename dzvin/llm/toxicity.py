@@ -14,10 +14,11 @@ ordinary text with a share of toxic expressions, so its likelihood is that of th
 (1 - SHARE) P_ordinary + SHARE P_toxic. The difference of the log-likelihoods per word, toxic less
 ordinary, goes through a logistic curve fitted on labelled texts kept out of the counts.
 
-Counts run over all labelled documents and grow with them. The vocabulary is every word seen twice, or
-what reaches the count at which VOCABULARY words are left; other words are one unknown word, scored by
-the shared backoff. The model is a number for each word and one for each history, which has a proven
-bound and is sent to executors.
+Counts run over the labelled documents (but the texts kept for the curve) and grow with them. The
+vocabulary is every word seen twice; words seen once are one unknown word, scored by the shared backoff. The
+model is a number for each word and one for each history. Those of the VOCABULARY most frequent words at most
+(the head) are arrays, sent to executors; those of all other words (the tail, empty for small corpora) are
+a table, which pairs with such a word meet by shuffle joins. Where the head ends bears on speed alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from dzvin.llm.common import U64, Words, cut_lineage, ship, steps
 
+#: Words of the head, at most.
 VOCABULARY = 1 << 20
 SHARE = 0.03
 #: Labels are sent to executors up to this many rows, joined by a shuffle beyond.
@@ -43,10 +45,20 @@ _WIDTH = 21
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted word hashes; then come the unknown word and the start
+    vocabulary: np.ndarray  # sorted word hashes of the head; then come the unknown word and the start
     word: np.ndarray  # log a_toxic / a_ordinary
     history: np.ndarray  # log Z_toxic / Z_ordinary
     curve: np.ndarray
+    tail: DataFrame | None = None  # (id, word, history) of the other words, by `_tail_id`
+
+    def sent(self) -> Model:
+        """What goes to executors."""
+        return Model(self.vocabulary, self.word, self.history, self.curve)
+
+
+def _tail_id(h: np.ndarray) -> np.ndarray:
+    """Hashes as negative numbers, apart from the numbers of the head."""
+    return (h | U64(1 << 63)).view(np.int64)
 
 
 def _ids(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +77,7 @@ def _ids(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(train: DataFrame, keys) -> DataFrame:
-    """(k, ordinary, toxic): how often each key of `keys(words)` occurs in either class."""
+    """(k, ordinary, toxic): how often each key of `keys(words)`, keys and the places of their words, occurs in either class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -84,8 +96,11 @@ def _counted(train: DataFrame, keys) -> DataFrame:
                 w = Words(part.column(0), signs=True)
                 if not len(w.hash):
                     continue
-                toxic = part.column(1).to_numpy(zero_copy_only=False)[w.doc].astype(np.int64)
-                u, at = np.unique(keys(w), return_inverse=True)
+                found, places = keys(w)
+                if not len(found):
+                    continue
+                toxic = part.column(1).to_numpy(zero_copy_only=False)[w.doc[places]].astype(np.int64)
+                u, at = np.unique(found, return_inverse=True)
                 t = np.bincount(at, toxic, len(u)).astype(np.int64)
                 held.append((u, np.bincount(at, minlength=len(u)) - t, t))
                 rows += len(u)
@@ -138,24 +153,52 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     kept_out = F.pmod(F.xxhash64("text"), F.lit(max(CURVE_PART, n_labels // CURVE_ROWS))) == 0
     train, curve = rows.where(~kept_out), rows.where(kept_out)
 
-    words = cut_lineage(_counted(train, lambda w: w.hash.view(np.int64)))
-    vocabulary = np.sort(_arrays(words.where(F.expr("ordinary + toxic") >= _least(words, VOCABULARY)), "k")[0].astype(np.int64).view(U64))
+    words = cut_lineage(_counted(train, lambda w: (w.hash.view(np.int64), np.arange(len(w.hash)))))
+    least = _least(words, VOCABULARY)
+    vocabulary = np.sort(_arrays(words.where(F.expr("ordinary + toxic") >= least), "k")[0].astype(np.int64).view(U64))
     sent = spark.sparkContext.broadcast(vocabulary)
     n = len(vocabulary) + 2
+    lowest = F.lit(-(1 << 63))
+    rest = words.where((F.expr("ordinary + toxic") >= 2) & (F.expr("ordinary + toxic") < least)).select(F.col("k").bitwiseOR(lowest).alias("id"))
+    rest = None if least <= 2 or rest.isEmpty() else rest
 
-    def pair_keys(w: Words) -> np.ndarray:
+    whole_head = rest is None
+
+    def pairs_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pairs, and their places; with a tail only those within the head."""
         word, history = _ids(w, sent.value)
-        return history << _WIDTH | word
+        at = np.arange(len(word)) if whole_head else np.flatnonzero((word != n - 2) & (history != n - 2))
+        return (history << _WIDTH | word)[at], at
 
-    pairs = cut_lineage(_counted(train, pair_keys))
+    pairs = cut_lineage(_counted(train, pairs_of))
     both = pairs.select("ordinary", "toxic", F.shiftright("k", _WIDTH).alias("h"), F.col("k").bitwiseAND(F.lit((1 << _WIDTH) - 1)).alias("w"))
+    if rest is not None:
+        both = cut_lineage(both.unionByName(_tail_pairs(train, rest, sent, n)).groupBy("h", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
     seen = lambda c: F.count_if(F.col(c) > 0).alias(f"n_{c}")
-    # A row for each word: bounded by the vocabulary.
-    w, w_all, *by_class = _arrays(both.groupBy("w").agg(F.count("*").alias("n"), seen("ordinary"), seen("toxic")), "w", "n", "n_ordinary", "n_toxic")
-    shared = np.full(n, 0.5)
-    shared[w] += w_all
-    shared /= shared.sum()
-    alpha = np.stack([_unigram(w, distinct, shared) / shared for distinct in by_class])
+    by_word = both.groupBy("w").agg(F.count("*").alias("n"), seen("ordinary"), seen("toxic"))
+    by_word = cut_lineage(by_word) if rest is not None else by_word
+    # A row for each word of the head: bounded.
+    w, w_all, *by_class = _arrays(by_word.where("w >= 0"), "w", "n", "n_ordinary", "n_toxic")
+    counts = np.zeros((3, n))
+    counts[:, w] = w_all, *by_class
+    # What sums over the tail add to those over the head: words, histories, and for each class histories and words with one and two.
+    more = [0] * 8
+    if rest is not None:
+        ones = [F.count_if(F.col(f"n_{c}") == k) for c in ("ordinary", "toxic") for k in (1, 2)]
+        more = [x or 0 for x in by_word.where("w < 0").agg(F.count("*"), F.sum("n"), F.sum("n_ordinary"), F.sum("n_toxic"), *ones).first()]
+    total = 0.5 * (n + more[0]) + counts[0].sum() + more[1]
+    shared = (0.5 + counts[0]) / total
+    laws = []
+    for c in (0, 1):
+        seen_c = counts[c + 1]
+        d_c = _discount((seen_c == 1).sum() + more[4 + 2 * c], (seen_c == 2).sum() + more[5 + 2 * c])
+        whole = seen_c.sum() + more[2 + c]
+        # Discounted mass of all words: each with a pair gives d_c, or all it has if that is less.
+        kept = np.maximum(seen_c - d_c, 0).sum()
+        if rest is not None:
+            kept += by_word.where("w < 0").agg(F.sum(F.greatest(F.col(("n_ordinary", "n_toxic")[c]) - F.lit(d_c), F.lit(0.0)))).first()[0] or 0.0
+        laws.append((d_c, whole, 1 - kept / whole if whole else 1.0))
+    alpha = np.stack([(np.maximum(counts[c + 1] - d, 0) / max(whole, 1) + back * shared) / shared for c, (d, whole, back) in enumerate(laws)])
     once = both.agg(*(F.count_if(F.expr("ordinary + toxic") == k).alias(f"n{k}") for k in (1, 2))).first()
     d = _discount(once["n1"], once["n2"])
     sent_alpha = spark.sparkContext.broadcast(alpha)
@@ -167,14 +210,29 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
             m = np.maximum(n - d, 0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, m, m * a[0, w], m * a[1, w])], ["h", "n", "m", "o", "t"])
 
-    weighed = both.select("h", "w", F.expr("ordinary + toxic").alias("n")).mapInArrow(weigh, "h long, n long, m double, o double, t double")
-    h, size, kept, *sums = _arrays(weighed.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "m", "o", "t"))), "h", "n", "m", "o", "t")
-    z = np.ones((2, n)) * (alpha @ shared)[:, None]
+    sums = lambda rows: rows.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "m", "o", "t")))
+    weighed = both.where("w >= 0").select("h", "w", F.expr("ordinary + toxic").alias("n")).mapInArrow(weigh, "h long, n long, m double, o double, t double")
+    tail = None
+    if rest is not None:
+        p = (F.lit(0.5) + F.col("n")) / F.lit(float(total))
+        a = [(F.greatest(F.col(f"n_{c}") - F.lit(float(x)), F.lit(0.0)) / F.lit(float(max(whole, 1))) + F.lit(float(back)) * p) / p for c, (x, whole, back) in zip(("ordinary", "toxic"), laws, strict=True)]
+        tail = cut_lineage(by_word.where("w < 0").select("w", a[0].alias("ao"), a[1].alias("at")))
+        m = F.greatest(F.expr("ordinary + toxic") - F.lit(float(d)), F.lit(0.0))
+        own = both.where("w < 0").join(tail, "w").select("h", F.expr("ordinary + toxic").alias("n"), m.alias("m"), (m * F.col("ao")).alias("o"), (m * F.col("at")).alias("t"))
+        weighed = cut_lineage(sums(weighed.unionByName(own)))
+    else:
+        weighed = sums(weighed)
+    h, size, kept, *by_class = _arrays(weighed.where("h >= 0"), "h", "n", "m", "o", "t")
+    z = np.ones((2, n))
     for c in (0, 1):
-        z[c, h] = sums[c] / size + (1 - kept / size) * z[c, h]
-    model = Model(vocabulary, np.log(alpha[1] / alpha[0]).astype(np.float32), np.log(z[1] / z[0]).astype(np.float32), np.zeros(4))
+        z[c, h] = by_class[c] / size + 1 - kept / size
+    if rest is not None:
+        left = 1 - F.col("m") / F.col("n")
+        after = weighed.where("h < 0").select(F.col("h").alias("id"), F.log((F.col("t") / F.col("n") + left) / (F.col("o") / F.col("n") + left)).alias("history"))
+        tail = cut_lineage(tail.select(F.col("w").alias("id"), F.log(F.col("at") / F.col("ao")).alias("word")).join(after, "id", "left"))
+    model = Model(vocabulary, np.log(alpha[1] / alpha[0]).astype(np.float32), np.log(z[1] / z[0]).astype(np.float32), np.zeros(4), tail)
     # Equal texts are one point with a weight.
-    points = _differences(curve, model).groupBy("d", "n", "toxic").count().toArrow()
+    points = _differences(curve.select("text", "toxic"), model).groupBy("d", "n", "toxic").count().toArrow()
     model.curve = _curve(points["d"].to_numpy(), points["n"].to_numpy(), points["toxic"].to_numpy(zero_copy_only=False).astype(float), points["count"].to_numpy())
     return model
 
@@ -183,35 +241,89 @@ def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def _unigram(w: np.ndarray, distinct: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """P_c of all words; without any pair of the class, the shared one."""
-    n = np.zeros(len(shared))
-    n[w] = distinct
-    if not n.sum():
-        return shared
-    p = np.maximum(n - _discount((n == 1).sum(), (n == 2).sum()), 0) / n.sum()
-    return p + (1 - p.sum()) * shared
+def _tail_pairs(train: DataFrame, rest: DataFrame, vocabulary, n: int) -> DataFrame:
+    """(h, w, ordinary, toxic) of pairs with a word beyond the head; those not in `rest` are the unknown word."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in steps(b, "text"):
+                w = Words(part.column(0), signs=True)
+                h, word = _with_tail(w, *_ids(w, vocabulary.value)[::-1], n)
+                at = np.flatnonzero((h < 0) | (word < 0))
+                toxic = part.column(1).to_numpy(zero_copy_only=False)[w.doc[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(word[at]), pa.array(toxic.astype(bool))], ["h", "w", "toxic"])
+
+    rows = train.select("text", "toxic").mapInArrow(cut, "h long, w long, toxic boolean")
+    rows = rows.groupBy("h", "w").agg(F.count_if(~F.col("toxic")).alias("ordinary"), F.count_if("toxic").alias("toxic"))
+    known = rest.withColumn("known", F.lit(True))
+    for c in ("h", "w"):
+        rows = rows.join(known.withColumnRenamed("id", c), c, "left").withColumn(c, F.when((F.col(c) >= 0) | F.col("known"), F.col(c)).otherwise(n - 2)).drop("known")
+    return rows.select("ordinary", "toxic", "h", "w")
+
+
+def _with_tail(w: Words, history: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of histories and words with the tail's ids in place of the unknown word's."""
+    ids = _tail_id(w.hash)
+    before = np.r_[ids[:1], ids[:-1]]
+    return np.where(history == n - 2, before, history), np.where(word == n - 2, ids, word)
+
+
+def _mixed(ratio: np.ndarray) -> np.ndarray:
+    return np.log1p(SHARE * (np.exp(ratio) - 1))
 
 
 def difference(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood of toxic less that of ordinary text per word, and the numbers of words."""
+    """Log-likelihood of toxic less that of ordinary text per word, and the numbers of words, by the head alone."""
     w = Words(col, signs=True)
     n = np.diff(w.first)
     word, history = _ids(w, m.vocabulary)
-    ratio = np.exp(m.word[word].astype(float) - m.history[history])
-    return np.bincount(w.doc, np.log1p(SHARE * (ratio - 1)), len(n)) / np.maximum(n, 1), n
+    said = _mixed(m.word[word].astype(float) - m.history[history])
+    return np.bincount(w.doc, said, len(n)) / np.maximum(n, 1), n
 
 
 def _differences(rows: DataFrame, model: Model) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    """The columns of (text, ...) but the text, with d and n."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.sent())
+    others = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in steps(b, "text"):
                 d, n = difference(part.column(0), sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n), part.column(1)], ["d", "n", "toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(d), pa.array(n)], [*others, "d", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "d double, n long, toxic boolean")
+    if model.tail is None:
+        return rows.select("text", *others).mapInArrow(run, f"{kinds}, d double, n long")
+
+    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the head says of each text, and its pairs with a word beyond the head: their known parts and their ids."""
+        m = sent.value
+        n_ids = len(m.vocabulary) + 2
+        for b in batches:
+            for part in steps(b, "text"):
+                w = Words(part.column(0), signs=True)
+                n = np.diff(w.first)
+                word, history = _ids(w, m.vocabulary)
+                h, x = _with_tail(w, history, word, n_ids)
+                at = np.flatnonzero((h < 0) | (x < 0))
+                said = _mixed(m.word[word].astype(float) - m.history[history])
+                said[at] = 0
+                first = np.searchsorted(w.doc[at], np.arange(len(n) + 1)).astype(np.int32)
+                # For the unknown word the head's own numbers stand where the tail has none.
+                fields = [pa.array(h[at]), pa.array(x[at]), pa.array(m.history[history[at]].astype(float)), pa.array(m.word[word[at]].astype(float))]
+                pairs = pa.ListArray.from_arrays(first, pa.StructArray.from_arrays(fields, ["h", "w", "z", "a"]))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.bincount(w.doc, said, len(n))), pa.array(n), pairs], [*others, "d", "n", "pairs"])
+
+    cut = rows.select("text", *others).mapInArrow(open_pairs, f"{kinds}, d double, n long, pairs array<struct<h:long,w:long,z:double,a:double>>")
+    cut = cut_lineage(cut.withColumn("row_", F.monotonically_increasing_id()))
+    p = cut.select("row_", F.explode("pairs").alias("p")).select("row_", "p.*")
+    for c, own, name in (("w", "a", "word"), ("h", "z", "history")):
+        known = model.tail.select(F.col("id").alias(c), F.coalesce(name, F.lit(0.0)).alias("told"))
+        p = p.join(known, c, "left").withColumn(own, F.coalesce("told", own)).drop("told")
+    more = p.groupBy("row_").agg(F.sum(F.log1p(F.lit(SHARE) * (F.exp(F.col("a") - F.col("z")) - 1))).alias("more"))
+    out = cut.drop("pairs").join(more, "row_", "left")
+    return out.select(*others, ((F.col("d") + F.coalesce("more", F.lit(0.0))) / F.greatest("n", F.lit(1))).alias("d"), "n")
 
 
 def _features(d: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -236,13 +348,8 @@ def _curve(d: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> n
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, one row per input row; null and empty texts have no words and a difference of 0."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in steps(b, "text"):
-                s = _features(*difference(part.column(1), sent.value)) @ sent.value.curve
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    size = F.log1p(F.col("n").cast("double"))
+    x = [F.col("d") * 10, F.col("d") * size * 5, size / 5, F.lit(1.0)]
+    total = sum((v * F.lit(float(b)) for v, b in zip(x, model.curve, strict=True)), F.lit(0.0))
+    return _differences(rows, model).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), total))))).alias("score"))

@@ -310,6 +310,24 @@ def test_toxicity_models_are_distributions(spark):
         assert m.history[h] == pytest.approx(math.log(z[1] / z[0]), abs=1e-4)
 
 
+def test_the_end_of_the_head_changes_no_score(spark, monkeypatch, docs):
+    """Words beyond the broadcast head are met by joins, with the same model and scores."""
+    d, labels, _ = labelled_docs(spark, 160, "toxic")
+    both = d.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+
+    def run():
+        m = toxicity.fit(d, labels)
+        return m, sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.score(both, m).collect())
+
+    whole, want = run()
+    assert whole.tail is None
+    monkeypatch.setattr(toxicity, "VOCABULARY", 25)
+    cut, got = run()
+    assert len(cut.vocabulary) <= 25 and cut.tail.count() == len(whole.vocabulary) - len(cut.vocabulary) > 0
+    assert np.allclose(cut.curve, whole.curve, atol=1e-3) and [k for k, _ in got] == [k for k, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
+
+
 def counts_of(t: str) -> tuple:
     w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
     places = defaultdict(list)
