@@ -30,10 +30,12 @@ _LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one if it is local, else an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if root is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
     return root or sc.getCheckpointDir()
 
