@@ -155,6 +155,16 @@ def test_spans(spark):
         d.limit(1).select(spans.assemble("t", "s", F.array().cast("array<string>"))).collect()
 
 
+def test_marked_spans(spark):
+    """The sentence around each span, by a plain cut into words on single spaces."""
+    sentence = " ".join(f"слово{k}" for k in range(60)) + " 5 " + "  ".join(f"кінець{k}" for k in range(60))
+    rows = [(sentence, x) for x in spans.find_spans(sentence)] + [("5", (0, 1, "5"))]
+    d = spark.createDataFrame(rows, "t string, s struct<start:int,end:int,text:string>")
+    for r in d.select("t", "s", spans.model_input(F.col("t"), F.col("s")).alias("got")).collect():
+        left, right = r.t[: r.s.start].split(" "), r.t[r.s.end :].split(" ")
+        assert r.got == " ".join(left[-41:]) + "[[" + r.s.text + "]]" + " ".join(right[:41])
+
+
 def test_islands():
     import numpy as np
 
