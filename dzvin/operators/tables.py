@@ -26,6 +26,11 @@ def made_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(words: DataFrame) -> DataFrame:
+    """The rows dealt by word over all shuffle partitions: a few megabytes of words are much work for one task, which adaptive plans would make of them."""
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
 def sendable(table: DataFrame) -> DataFrame:
     """The table with a broadcast hint if it has at most SEND_ROWS rows; it is counted, so it should be stored or made once."""
     return F.broadcast(table) if table.count() <= SEND_ROWS else table

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dzvin.functions import alphabet as A
 from dzvin.functions import text as T
-from dzvin.operators.tables import made_once, sendable
+from dzvin.operators.tables import made_once, sendable, spread
 from dzvin.operators.tokens import explode_words, with_offsets
 
 MAX_SUFFIX = 13
@@ -49,7 +49,7 @@ def classify_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 def classify(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tier 1 for a token table: adds initial, key, candidates, status and output."""
     t = with_initial(tokens)
-    words = t.where("word is not null").select("word", "initial").distinct()
+    words = spread(t.where("word is not null").select("word", "initial").distinct())
     return t.join(sendable(made_once(classify_words(words, lexicon))), ["word", "initial"], "left")
 
 
@@ -89,16 +89,16 @@ def longest_suffix(words: DataFrame, table: DataFrame) -> DataFrame:
 
 def unknown_words(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None) -> DataFrame:
     """(word) -> (word, compound, by_suffix, by_place): tiers 5 to 7 for distinct words that the lexicon lacks."""
-    out = words.join(compound_words(words, lexicon), "word", "left")
-    if suffixes is None:
-        out = out.withColumn("by_suffix", F.lit(None).cast("string"))
-    else:
-        out = out.join(longest_suffix(words, suffixes).select("word", T.render("word", "sig").alias("by_suffix")), "word", "left")
+    # The place is a column of its own: inside `render` an expression would be computed at each use. Before the joins, which may leave one task.
+    out = words.withColumn("place", positional_signature("word"))
+    # Without breaks it is a plain ordinal, which is set by a short way.
     alone = ~F.col("word").rlike(f"[{A.BREAK_CLASS}]")
-    # Without breaks the place is a plain ordinal, which is set by a short way.
-    default = positional_signature("word")
-    default = T.render("word", F.when(alone, F.substring_index(default, ":", -1)).otherwise(default))
-    return out.withColumn("by_place", F.when(T.vowel_count("word") >= 2, default))
+    out = out.withColumn("place", F.when(alone, F.substring_index("place", ":", -1)).otherwise(F.col("place")))
+    out = out.withColumn("by_place", F.when(T.vowel_count("word") >= 2, T.render("word", "place"))).drop("place")
+    out = out.join(compound_words(words, lexicon), "word", "left")
+    if suffixes is None:
+        return out.withColumn("by_suffix", F.lit(None).cast("string"))
+    return out.join(spread(longest_suffix(words, suffixes)).select("word", T.render("word", "sig").alias("by_suffix")), "word", "left")
 
 
 def word_decisions(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | None) -> DataFrame:
@@ -108,7 +108,7 @@ def word_decisions(words: DataFrame, lexicon: DataFrame, suffixes: DataFrame | N
     nothing, and by_default, the first of several candidates set.
     """
     known = made_once(classify_words(words, lexicon))
-    lost = made_once(unknown_words(made_once(known.where("status = 'not_found'").select("word").distinct()), lexicon, suffixes))
+    lost = made_once(unknown_words(made_once(spread(known.where("status = 'not_found'").select("word").distinct())), lexicon, suffixes))
     kind = F.when(F.col("compound").isNotNull(), "compound").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("by_place").isNotNull(), "default_position")
     lost = lost.select("word", F.coalesce("compound", "by_suffix", "by_place").alias("by_word"), kind.alias("by_word_status"))
     first = F.when(F.col("status") == "model_ineligible", T.render("word", F.get("candidates", F.lit(0))))
@@ -183,7 +183,7 @@ def mark_tokens(
     if on_ambiguity not in ("default", "preserve"):
         raise ValueError("on_ambiguity must be 'default' or 'preserve'")
     tokens = with_initial(explode_words(docs, id_col, text_col))
-    words = tokens.where("word is not null").select("word", "initial").distinct()
+    words = spread(tokens.where("word is not null").select("word", "initial").distinct())
     if offsets or not (decisions is choices is morphology is combiner is None):
         tokens = with_offsets(tokens)
     tokens = tokens.join(sendable(word_decisions(words, lexicon, suffixes)), ["word", "initial"], "left")
