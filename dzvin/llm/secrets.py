@@ -24,9 +24,9 @@ VALUE = "[\"']?\\x20*[:=]\\x20*[\"']?"
 ASSIGN = f"(?i:(password|passwd|secret|token|api_?key)){VALUE}([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-ENDPOINT = "(?:(?i:https?|s3|gs|ftp|redis|amqps?|mongodb|postgres(?:ql)?|mysql)://[^\\x20\\t\\r\\n\"'<>]+|\\b(?i:host|hostname|endpoint|server|bucket)" + VALUE + "[A-Za-z0-9.:/_-]{3,})"
-IDENT = "(?:(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}|\\b(?i:access_?key_?id|key_?id|client_?id|account_?id|user_?name|user|login)" + VALUE + "[A-Za-z0-9@._-]{3,})"
-SECRET = "(?:\\b(?i:client_?secret|secret_?key|secret_?access_?key|access_?key|private_?key|auth_?key|pass_?phrase|pass|pwd|auth|credentials?|bearer)" + VALUE + "[A-Za-z0-9+/_.=-]{6,}|[A-Za-z0-9+/]{20,}={0,2})"
+ENDPOINT = "(?:(?i:https?|s3|gs|ftp|redis|amqps?|mongodb|postgres(?:ql)?|mysql)://[^\\x20\\t\\r\\n\"'<>]+|(?<![A-Za-z0-9])(?i:host|hostname|endpoint|server|bucket)" + VALUE + "[A-Za-z0-9.:/_-]{3,})"
+IDENT = "(?:(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?<![A-Za-z0-9])(?i:access_?key_?id|key_?id|client_?id|account_?id|user_?name|user|login)" + VALUE + "[A-Za-z0-9@._-]{3,})"
+SECRET = "(?:(?<![A-Za-z0-9])(?i:client_?secret|secret_?key|secret_?access_?key|access_?key|private_?key|auth_?key|pass_?phrase|pass|pwd|auth|credentials?|bearer)" + VALUE + "[A-Za-z0-9+/_.=-]{6,}|[A-Za-z0-9+/]{20,}={0,2})"
 WEAK = f"{ENDPOINT}|{IDENT}|{SECRET}"
 BREAK = "\\n[\\x20\\t\\r]*\\n"
 #: Kinds in the order in which spans at one place are listed.

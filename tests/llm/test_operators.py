@@ -128,12 +128,13 @@ def test_weak_parts_need_their_complement(spark):
     cases = [
         (f"client_id: app77 and {key}", ["weak_id", "weak_secret"]), (f"{key}", []), (url, []), (f"{url} {key}", ["weak_endpoint", "weak_secret"]),
         (f"client_id: app77\n\n{key}", []), (f"client_id: app77 {'w ' * 300} {key}", []), (f"{url} client_id: app77", []),
-        ("token=abcdef123 at " + url, ["assign", "weak_endpoint"]), ("client_id=app77 " * 50 + key, ["weak_id"] * 26 + ["weak_secret"]),
+        ("token=abcdef123 at " + url, ["assign", "weak_endpoint"]), ("client_id=app77 " * 50 + key, ["weak_id"] * 25 + ["weak_secret"]),
+        ("DB_HOST=db.example.com\nDB_USER=admin\nDB_PASS=hunter22x", ["weak_endpoint", "weak_id", "weak_secret"]), ("bypass=hunter22x superuser=admin", []),
     ]
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(d).collect()}
     for i, (t, want) in enumerate(cases):
-        assert sorted(got[i])[:40] == sorted(want)[:40] or i == 8 and got[i][-1] == "weak_secret", t
+        assert sorted(got[i]) == sorted(want), t
 
 
 def test_redaction_replaces_all_spans_and_nothing_else(spark):
