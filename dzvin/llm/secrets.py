@@ -2,13 +2,12 @@
 
 Strong spans are found by three patterns (assign, access, hex). Weak parts (identifiers, secret-looking
 values, endpoints) are common in clean text and are reported only where parts that complement each other
-lie together: in one scope (no blank line between them) and at most REACH code points apart. An
-identifier needs a secret, a secret needs an identifier or an endpoint, an endpoint needs a secret; strong
-spans count as parts too.
+lie in one scope: the interval between two blank lines, whatever its length. An identifier needs a secret,
+a secret needs an identifier or an endpoint, an endpoint needs a secret; strong spans count as parts too.
 
 Places come from the lengths between matches: a text split by a pattern gives the gaps, and a running
 sum over a row's matches gives code-point offsets. The interval join is a sweep over a row's parts in
-order: for each part the nearest ones of each role before and behind it, by running windows, so no
+order: blank lines passed number the scope of each part, and each part meets the roles its scope holds, so no
 pairs are made. Only lengths and kinds are shuffled, never texts.
 """
 
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from dzvin.llm.common import cut_lineage
 
-REACH = 400
 VALUE = "[\"']?\\x20*[:=]\\x20*[\"']?"
 ASSIGN = f"(?i:(password|passwd|secret|token|api_?key)){VALUE}([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
@@ -79,15 +77,9 @@ def link(rows: DataFrame) -> DataFrame:
     role = F.when(F.col("kind").isin("assign", "hex"), "secret").when(F.col("kind") == "access", "id")
     role = role.when(covered, None).when(F.col("kind") == "weak_secret", "secret").when(F.col("kind") == "weak_id", "id").when(F.col("kind") == "weak_endpoint", "endpoint")
     swept = swept.withColumn("role", role)
-    down = Window.partitionBy("row", "scope").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.partitionBy("row", "scope").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def near(r: str) -> Column:
-        before = F.col("start") - F.max(F.when(F.col("role") == r, F.col("end"))).over(down) <= REACH
-        behind = F.min(F.when(F.col("role") == r, F.col("start"))).over(up) - F.col("end") <= REACH
-        return F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
-
-    with_near = swept.withColumns({f"near_{r}": near(r) for r in ("id", "secret", "endpoint")})
+    scope = Window.partitionBy("row", "scope")
+    # A part has one role and needs another, so it never stands for its own complement.
+    with_near = swept.withColumns({f"near_{r}": F.coalesce(F.bool_or(F.col("role") == r).over(scope), F.lit(False)) for r in ("id", "secret", "endpoint")})
     linked = F.when(F.col("role") == "secret", F.col("near_id") | F.col("near_endpoint")).when(F.col("role").isNotNull(), F.col("near_secret"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"))
