@@ -24,6 +24,8 @@ MAX_TRAIN = 8192
 BITS = 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 EPOCHS, SCALE = 4, 30.0
+#: Bytes of text of one step of training, whose n-grams are sorted.
+TRAIN_STEP = 1 << 20
 
 
 def _salted(x: np.ndarray, salt: int) -> np.ndarray:
@@ -63,23 +65,27 @@ def ngrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(slots), np.concatenate(docs), w.n_docs
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-Proximal, one update per text; the last weight is the bias."""
-    examples: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
+def examples(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Slots of each text, how often it has them (in as few bytes as they need) and the worth of one n-gram."""
+    for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t", TRAIN_STEP):
         slot, doc, n = ngrams(part.column(0))
         order = np.argsort(doc, kind="stable")
         slot, at = slot[order], np.searchsorted(doc[order], np.arange(n + 1))
         for i in range(n):
             u, c = np.unique(slot[at[i] : at[i + 1]], return_counts=True)
-            examples.append((np.r_[u, 1 << BITS].astype(np.int32), np.r_[c * (SCALE / max(1, at[i + 1] - at[i])), 1.0]))
+            yield u.astype(np.int32), c.astype(np.min_scalar_type(c.max(initial=0))), SCALE / max(1, at[i + 1] - at[i])
+
+
+def train(held: list[tuple[np.ndarray, np.ndarray, float]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """FTRL-Proximal, one update per text; the last weight is the bias."""
     z, g2 = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(u):
         return np.where(np.abs(z[u]) <= L1, 0.0, (np.sign(z[u]) * L1 - z[u]) / ((BETA + np.sqrt(g2[u])) / ALPHA + L2))
 
     for _ in range(epochs):
-        for (u, x), y in zip(examples, labels, strict=True):
+        for (u, c, worth), y in zip(held, labels, strict=True):
+            u, x = np.r_[u, 1 << BITS], np.r_[c * worth, 1.0]
             w = weights(u)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -111,9 +117,13 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(sample), "i").groupBy("i").agg(F.min("t").alias("t"), F.first("y").alias("y"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is not None and table.num_rows:
-            w = train(table["t"].combine_chunks() if table["t"].num_chunks != 1 else table["t"].chunk(0), (table["y"].to_numpy() > 0.5).astype(float))
+        # Of the texts one batch is held at a time.
+        held, labels = [], []
+        for b in batches:
+            held += examples(b.column(1))
+            labels += [y > 0.5 for y in b.column(2).to_pylist()]
+        if held:
+            w = train(held, np.array(labels, float))
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["slot", "w"])
 
