@@ -172,12 +172,12 @@ def lexicon_lookup_join(spark, sf_dir):
 
 
 def _base(spark, sf_dir) -> DataFrame:
-    return tokens.with_offsets(tokens.explode_words(C.documents(spark, sf_dir)))
+    return tokens.explode_words(C.documents(spark, sf_dir), offsets=True)
 
 
 def _classified(spark, sf_dir, offsets: bool = True) -> DataFrame:
-    t = tokens.explode_words(C.documents(spark, sf_dir))
-    return tiers.classify(tokens.with_offsets(t) if offsets else t, C.lexicon(spark, sf_dir)).where("word is not null")
+    t = tokens.explode_words(C.documents(spark, sf_dir), offsets=offsets)
+    return tiers.classify(t, C.lexicon(spark, sf_dir)).where("word is not null")
 
 
 @query(f"{_CLS} SELECT st AS status, count(*) AS n FROM status1 GROUP BY 1")
@@ -209,7 +209,7 @@ _PAIRED = "text || ' до мене, без нього; до, неї на\nсеб
 )
 def prepositional_shift(spark, sf_dir):
     docs = C.documents(spark, sf_dir).withColumn("text", F.expr(_PAIRED.replace("\n", "\\n")))
-    t = tokens.with_offsets(tokens.explode_words(docs)).withColumns({"status": F.lit("not_found"), "output": F.col("word")})
+    t = tokens.explode_words(docs, offsets=True).withColumns({"status": F.lit("not_found"), "output": F.col("word")})
     return tiers.prepositional_shift(t).where("status = 'prepositional'").select("doc_id", "start", "word")
 
 
@@ -432,7 +432,7 @@ _TAGGED = (
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
-    t = tokens.with_offsets(tokens.explode_words(C.documents(spark, sf_dir))).where("word is not null")
+    t = tokens.explode_words(C.documents(spark, sf_dir), offsets=True).where("word is not null")
     upos = F.element_at(F.array(*map(F.lit, ("NUM", "NOUN", "VERB", "ADJ"))), F.length("word") % 4 + 1)
     feats = F.element_at(F.array(*map(F.lit, ("Animacy=Inan|Case=Nom|Number=Plur", "Case=Gen|Number=Sing", "Case=Acc|Gender=Fem|Number=Plur"))), F.col("k") % 3 + 1)
     return t.select("doc_id", "k", "start", "end", F.col("word").alias("text"), upos.alias("upos"), feats.alias("feats"))

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import json
 import unicodedata
 
@@ -9,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dzvin import AssetError, Lexicon, SpeechFrontend, StressEngine
+from dzvin.operators.morphology import morphology_tier
+from dzvin.operators.tokens import running_sums, word_tokens
 from dzvin.sources import archive
 
 HEAD = "dataset_id,form_normalized,stressed_form,stress_signature,lemma_normalized,stressed_lemma,part_of_speech,grammatical_tags,lexeme_id,word_form_id,is_lemma,is_variant,is_obsolete,confidence,source_rank"
@@ -77,6 +80,62 @@ def test_statuses_and_marks(spark, bundle):
         engine.tokens(docs, on_ambiguity="maybe")
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_offsets_take_no_shuffle(spark):
+    for n in (0, 1, 2, 3, 7, 8, 9, 1000):
+        d = spark.createDataFrame([([k * k % 7 for k in range(n)],)], "x array<long>")
+        assert d.select(running_sums(F.col("x")).alias("y")).first().y == list(itertools.accumulate(d.first().x))
+    assert "Exchange" not in plan(word_tokens(spark.createDataFrame([(1, "мова")], "doc_id int, text string")))
+
+
+def test_statuses_of_both_runs_in_one_pass(spark, bundle):
+    engine = StressEngine.open(spark, str(bundle))
+    docs = spark.createDataFrame([*TEXT.items(), (10, "мова")], "doc_id int, text string")
+    got = sorted(engine.statuses(docs).collect())
+    runs = [sorted((r.doc_id, r.text, r.status) for r in engine.tokens(docs, on_ambiguity=m).collect()) for m in ("preserve", "default")]
+    assert [sorted((r.doc_id, r.text, r[k]) for r in got) for k in ("preserved", "default")] == runs
+    assert {(r.text, r.first) for r in got if r.doc_id == 4} == {("до", "not_found"), ("мене", "stressed")} and "Window" not in plan(engine.statuses(docs))
+
+
+def test_answers_of_models(spark, bundle):
+    """Answers meet their words without a sort by place; of several to a place one counts, null ids meet null ids, closed words stay."""
+    engine = StressEngine.open(spark, str(bundle))
+    docs = spark.createDataFrame([(1, "Замок замок"), (None, "замок мова"), (2, "до мене замок")], "doc_id int, text string")
+    said = [(1, 0, "1", "selected"), (1, 0, "1", "selected"), (1, 6, "0", "low_margin"), (None, 0, "1", "selected"), (None, 6, "0", "selected")]
+    decisions = spark.createDataFrame(said, "doc_id int, start long, sig string, decision string").withColumns({"scores": F.create_map(F.col("sig"), F.lit(1.0)), "margin": F.lit(3.0)})
+    choices = spark.createDataFrame([(2, 8, "1"), (1, 0, "7")], "doc_id int, start long, sig string")
+    t = engine.tokens(docs, decisions=decisions, choices=choices)
+    got = {(r.doc_id, r.start): (r.status, r.output_text, r.margin) for r in t.collect()}
+    assert got == {
+        (1, 0): ("stressed", "Замо́к", 3.0), (1, 6): ("dictionary_default", "за́мок", 3.0), (None, 0): ("stressed", "замо́к", 3.0), (None, 6): ("stressed", "мо́ва", 3.0),
+        (2, 0): ("not_found", "до", None), (2, 3): ("prepositional", "ме́не", None), (2, 8): ("token_model", "замо́к", None),
+    }
+    assert t.count() == 7 and "Window" not in plan(t)
+
+
+def test_morphology_meets_open_words_only(spark, bundle):
+    parses = spark.createDataFrame([(1, 0, 5, "NOUN", "Case=Nom", "Замок"), (1, 6, 10, "NOUN", "Case=Nom", "мова")], "doc_id int, start long, end long, upos string, feats string, text string")
+    two = [(["Case=Nom", "upos=NOUN"], [3]), (["Case=Gen", "upos=NOUN"], [1])]
+    readings = spark.createDataFrame([("замок", two), ("мова", two)], "form string, readings array<struct<tags:array<string>,accents:array<int>>>")
+    engine = StressEngine.open(spark, str(bundle), morphology=morphology_tier(parses, readings))
+    t = engine.tokens(spark.createDataFrame([(1, "Замок мова"), (2, "")], "doc_id int, text string"))
+    assert sorted((r.start, r.status, r.output_text) for r in t.collect()) == [(0, "morphology", "Зам\u0301ок"), (6, "stressed", "мо́ва")]
+    assert "Union" in plan(t)
+
+
+def test_chunks_know_their_places_without_a_shuffle(spark, bundle):
+    front = SpeechFrontend(StressEngine.open(spark, str(bundle)))
+    docs = spark.createDataFrame([(1, "Мова. До мене!\n\n Так 5. "), (2, ""), (None, " ")], "doc_id int, text string")
+    at = 0
+    for r in sorted(front.chunks(docs).where("doc_id = 1").collect(), key=lambda r: r.pos):
+        assert r.start == at
+        at += len(r.text)
+    assert at == 24 and "Window" not in plan(front.tokens(docs)) and "LogicalRDD" not in plan(front.chunks(docs))
+
+
 def test_speech(spark, bundle):
     engine = StressEngine.open(spark, str(bundle))
     docs = spark.createDataFrame([(1, "Мова. До мене!\nТак 5."), (2, "")], "doc_id int, text string")
