@@ -705,12 +705,7 @@ def combiner_decide(spark, sf_dir):
 )
 def parity_counts(spark, sf_dir):
     """How often the default and the preserving run, and the first tier, agree in status."""
-    e, docs = _engine(spark, sf_dir), C.documents(spark, sf_dir)
-    key = ["doc_id", "start"]
-    a = _no_breaks(e.tokens(docs, on_ambiguity="preserve"), "text").select(*key, F.col("status").alias("a"))
-    b = e.tokens(docs).select(*key, F.col("status").alias("b"))
-    c = _classified(spark, sf_dir).select(*key, F.col("status").alias("c"))
-    return metrics.parity(a.join(b, key).join(c, key), {"final": ("a", "b"), "first": ("c", "b")})
+    return metrics.parity(_no_breaks(_engine(spark, sf_dir).statuses(C.documents(spark, sf_dir)), "text"), {"final": ("preserved", "default"), "first": ("first", "default")})
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
