@@ -743,6 +743,20 @@ def stored_at(d) -> str:
     return path
 
 
+@pytest.mark.parametrize("past", [nearsets.PAST, 1])
+def test_a_pair_is_made_once(spark, monkeypatch, past):
+    """Every pair of different components at 0.8 or more is made; with all earlier shingles at hand none is made twice."""
+    monkeypatch.setattr(nearsets, "PAST", past)
+    r = random.Random(6)
+    base, rows = [r.sample(range(400), 60) for _ in range(3)], []
+    for k in range(150):
+        x = set(base[k % 3]) - set(r.sample(base[k % 3], r.choice([2, 5, 9]))) | {1000 + r.randrange(60) for _ in range(r.choice([1, 4]))}
+        rows.append((k, r.choice([k, 3, 5]), len(x), sorted(x, reverse=True)))
+    got = [(p.a, p.b) for p in nearsets.meetings(spark.createDataFrame(rows, "row long, comp long, n int, l array<long>"), 0.8).collect()]
+    alike = {(a, b) for b, cb, _, y in rows for a, ca, _, x in rows[:b] if ca != cb and jaccard(set(x), set(y)) >= 0.8}
+    assert len(alike) > 100 and alike <= set(got) and (len(got) == len(set(got))) == (past > 1)
+
+
 def test_a_large_group_is_compared_row_by_row(spark):
     """Thousands of near copies: a few comparisons for each, one row left."""
     r = random.Random(8)
