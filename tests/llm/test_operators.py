@@ -757,6 +757,59 @@ def test_a_pair_is_made_once(spark, monkeypatch, past):
     assert len(alike) > 100 and alike <= set(got) and (len(got) == len(set(got))) == (past > 1)
 
 
+def test_parities_count_no_more_than_the_difference():
+    r = random.Random(9)
+    sets = [sorted(r.sample(range(1 << 52), k)) for k in (0, 1, 40, 3000)] + [[5, 6], [5, 6 + 64 * nearsets.PARITIES]]
+    first = np.r_[0, np.cumsum(list(map(len, sets)))]
+    got = nearsets.parities(np.array([x for s in sets for x in s], np.uint64), first)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits, d = int(np.bitwise_count(got[i] ^ got[j]).sum()), len(set(a) ^ set(b))
+            assert bits <= d and (d - bits) % 2 == 0 and (i == j or bits > 0.8 * min(d, 150) or (i > 3 and j > 3))
+
+
+def test_unlike_pairs_of_a_group_are_not_made(spark):
+    """A hundred sets around one base, each a component, few of them alike: nearly all pairs share a shingle that could make them."""
+    r = random.Random(11)
+    base, rows = range(100), []
+    for k in range(100):
+        x = set(base) - set(r.sample(base, 13)) | set(r.sample(range(1000, 1200), 13))
+        x = x if k % 10 else x - set(r.sample(base, 3)) | {2000 + k}
+        rows.append((k, k, len(x), sorted(x, reverse=True)))
+    rows += [(100 + k, 100 + k, n, [*x[1:], -k - 1]) for k, _, n, x in rows[:5]]
+    got = [(p.a, p.b) for p in nearsets.meetings(spark.createDataFrame(rows, "row long, comp long, n int, l array<long>"), 0.8).collect()]
+    alike = {(a, b) for b, _, _, y in rows for a, _, _, x in rows[:b] if jaccard(set(x), set(y)) >= 0.8}
+    assert 5 <= len(alike) < 50 and alike <= set(got) and len(got) <= len(alike) + 50
+
+
+def test_alike_rows_outside_a_large_group_are_linked_by_few_pairs(spark, monkeypatch):
+    """Rows that are alike to all of a large component, and some to none, don't meet each of its rows."""
+    r, texts_ = random.Random(12), []
+    base = [f"w{k}" for k in range(160)]
+    for k in range(340):
+        t = list(base)
+        t[r.randrange(160)] = f"y{r.randrange(40)}"
+        texts_.append(" ".join(t))
+    for k in range(20):
+        texts_.append(" ".join([*base[:110], *(f"z{k % 10}-{i}" for i in range(50 + k // 10))]))
+    rows = spark.read.parquet(stored_at(spark.createDataFrame(list(enumerate(texts_)), "row long, t string")))
+    keys = spark.createDataFrame([(k, len(plain_set(t)), 1) for k, t in enumerate(texts_)], "row long, n long, key long")
+    labels = spark.createDataFrame([(k, 0) for k in range(300)], "node long, label long")
+    seen, plain = [], nearsets._alike
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(nearsets, "_alike", counted)
+    links = nearsets.rest_links(rows, keys, labels)
+    groups = nearsets.connected_components(links.toDF("a", "b").union(labels.toDF("a", "b"))).collect()
+    assert {x.label for x in groups if x.node < 340} == {0} and len({x.node for x in groups if x.label == 0}) == 340
+    assert {(x.node, x.label) for x in groups if x.node >= 340} == {(340 + k, 340 + k % 10) for k in range(20)}
+    # 40 rows outside, 300 inside: all pairs are over 12,000.
+    assert sum(seen) < 6000
+
+
 def test_a_large_group_is_compared_row_by_row(spark):
     """Thousands of near copies: a few comparisons for each, one row left."""
     r = random.Random(8)
