@@ -37,6 +37,8 @@ SAMPLE = 100
 K1, B = 1.2, 0.75
 #: Terms of a document that set its place.
 LEADING = 3
+#: Neighbours of a seed that are ordered at once; few windows take more.
+BEST = 64
 
 
 class Terms:
@@ -110,20 +112,35 @@ class Index:
         size = np.diff(np.r_[begin, len(term)])
         lists = np.cumsum(new) - 1
         by_doc = np.argsort(self.doc.astype(np.uint16 if self.n <= 1 << 16 else np.int64), kind="stable")
-        self.begin, self.size = begin[lists[by_doc]], size[lists[by_doc]]
+        self.begin, self.end = begin[lists[by_doc]], (begin + size)[lists[by_doc]]
         self.of_doc = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
+        self.room = np.empty(0, np.int64), np.empty(0)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first, ties by place."""
+    def drop(self, unused: np.ndarray) -> None:
+        """Take used documents out of the postings; they can still be seeds."""
+        keep = unused[self.doc]
+        before = np.r_[0, np.cumsum(keep)]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+        self.begin, self.end = before[self.begin], before[self.end]
+
+    def neighbours(self, seed: int, unused: np.ndarray, best: int | None = None) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first, ties by place; with `best` no more than that many and the last one's ties."""
         a, z = self.of_doc[seed], self.of_doc[seed + 1]
-        begin, size = self.begin[a:z], self.size[a:z]
-        total = int(size.sum())
-        if not total:
+        lists = [slice(x, y) for x, y in zip(self.begin[a:z].tolist(), self.end[a:z].tolist(), strict=True)]
+        if not lists:
             return np.zeros(0, np.int64)
-        at = np.arange(total) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size)
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        total = sum(x.stop - x.start for x in lists)
+        if total > len(self.room[0]):
+            self.room = np.empty(2 * total, np.int64), np.empty(2 * total)
+        # Whole lists are copied faster than their entries are picked, and faster still to memory that is in use.
+        doc, weight = (np.concatenate([whole[x] for x in lists], out=to[:total]) for whole, to in ((self.doc, self.room[0]), (self.weight, self.room[1])))
+        score = np.bincount(doc, weight, self.n)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        worth = -score[found]
+        if best is not None and len(found) > best:
+            first = worth <= np.partition(worth, best - 1)[best - 1]
+            found, worth = found[first], worth[first]
+        return found[np.argsort(worth, kind="stable")]
 
 
 def leading(t: Terms, s: Statistics, row: np.ndarray) -> np.ndarray:
@@ -148,8 +165,10 @@ def pack_shard(index: Index, sizes: list[int], window: int) -> Iterator[tuple[in
     unused = np.ones(len(sizes), bool)
     number = used = at = 0
     after = 0
+    left = held = len(sizes)
     seed: int | None = None
     ranked: Iterator[int] = iter(())
+    whole = True
     while True:
         if used == window:
             number, used, seed = number + 1, 0, None
@@ -157,6 +176,9 @@ def pack_shard(index: Index, sizes: list[int], window: int) -> Iterator[tuple[in
             doc = None
             if seed is not None:
                 doc = next((int(d) for d in ranked if unused[d]), None)
+                if doc is None and not whole:
+                    ranked, whole = iter(index.neighbours(seed, unused)), True
+                    doc = next((int(d) for d in ranked), None)
             if doc is None:
                 while after < len(sizes) and not unused[after]:
                     after += 1
@@ -164,10 +186,15 @@ def pack_shard(index: Index, sizes: list[int], window: int) -> Iterator[tuple[in
                     return
                 doc = after
             unused[doc] = False
+            left -= 1
+            # Work for a seed goes with what the lists hold.
+            if left < 0.8 * held:
+                index.drop(unused)
+                held = left
         take = min(sizes[doc] - at, window - used)
         yield doc, at, take, number, used
         if seed is None and used + take < window:
-            seed, ranked = doc, iter(index.neighbours(doc, unused))
+            seed, ranked, whole = doc, iter(index.neighbours(doc, unused, BEST)), False
         used, at = used + take, at + take
         if at == sizes[doc]:
             at = 0
@@ -189,7 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         end = np.array([END_ID], enc.dtype).tobytes()
         for b in batches:
             for part in steps(b, "t"):
-                ids = pa.array([enc.encode(t.as_py()) + end for t in part.column(1)], pa.binary())
+                ids = pa.array([x + end for x in enc.encode_all(part.column(1))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(2)], ["doc_id", "ids", "row_no"])
 
     encoded = stored(rows.mapInArrow(encode, f"doc_id {kind}, ids binary, row_no long"))

@@ -12,6 +12,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -73,6 +75,12 @@ class WordEncoder:
 
 #: The pattern of the byte-level vocabulary with possessive runs: the same pieces, found without stepping back.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: The same for texts in which no two signs of white space are side by side: without lookaround an automaton finds the pieces.
+SINGLE = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
+#: Two signs of white space, as the patterns above have it.
+RUN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: The library reads texts to a buffer quickly only if there is a special token; it is never allowed, so also this string is ordinary text.
+_NEVER = "\0never"
 
 
 class ByteEncoder:
@@ -92,9 +100,9 @@ class ByteEncoder:
         if any(a >= b for a, b in zip(made, made[1:])) or max(i for t, i in vocab.items() if len(t) == 1) > min(made, default=1 << 32):
             raise ValueError("the merges are not in order of their ids, so ranks would give other ids")
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
-        self.ids = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        made_by = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={_NEVER: max(ranks.values()) + 1})
+        self.single, self.any = made_by("single", SINGLE), made_by("bytes", PIECES)
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
-        self.code = "HI"[self.dtype.itemsize // 4]
         # The number of a token without regard to case and the white space before it; 0 for white space alone.
         self.fold, known = np.zeros(max([*ranks.values(), END_ID]) + 1, np.int64), {b"": 0}
         for token, i in ranks.items():
@@ -102,7 +110,15 @@ class ByteEncoder:
         self.n_terms = len(known)
 
     def encode(self, text: str | None) -> bytes:
-        return array(self.code, self.ids(text or "")).tobytes()
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, col: pa.Array) -> list[bytes]:
+        """Ids of each text; null is empty."""
+        runs = pyarrow.compute.match_substring_regex(col, RUN)
+        return [self._ids(self.any if run.as_py() else self.single, t.as_py()) for t, run in zip(col, runs, strict=True)]
+
+    def _ids(self, encoding: tiktoken.Encoding, text: str | None) -> bytes:
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes() if text else b""
 
 
 @lru_cache(maxsize=4)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ import corpus_pipeline
 from dzvin.llm import decontam, nearsets, packing, quality_lr, rules, secrets, sharding, simhash, sst, toxicity, warc
 from dzvin.llm.common import Words, steps
 from dzvin.llm.components import connected_components
-from dzvin.llm.tokens import ByteEncoder, WordEncoder
+from dzvin.llm.tokens import RUN, ByteEncoder, WordEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, row_no long, q string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -490,6 +491,33 @@ def test_bm25_neighbours_are_those_of_the_formula():
         assert all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
 
 
+def test_texts_without_runs_of_white_space_have_the_same_ids():
+    """Both patterns against the tokenizers library; the string that is never allowed is ordinary text."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, whole = ByteEncoder(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    single = ["It's 12 o'clock, don't", " a", "a ", "\na\tb\x0bc", "x\u00a0y\u3000z\x85w", "a\x1c\x1db", "\0never say \0never", "чай і 東京 ١٢", "'ll've", ""]
+    runs = ["a  b", "a \nb", "a\n\n", "  a", "a\u2003\u2003b", "x \u00a0 y", " \t", "\r\n1"]
+    assert pyarrow.compute.match_substring_regex(pa.array(single + runs), RUN).to_pylist() == [False] * len(single) + [True] * len(runs)
+    got = enc.encode_all(pa.array([*single, None, *runs]))
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in [*single, None, *runs]]
+
+
+def test_used_documents_leave_the_postings(monkeypatch):
+    """The pieces are those of whole postings in their whole order; a packed shard holds next to no postings."""
+    r, enc = random.Random(21), ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = encoded([" ".join(r.choice(["alpha", "beta", "gamma", "delta", "river"]) + str(r.randrange(9)) for _ in range(r.randint(0, 40))) for _ in range(200)], enc)
+    t, sizes = packing.Terms(pa.array(ids, pa.binary()), enc.dtype, enc.fold), [len(x) // enc.dtype.itemsize for x in ids]
+    stats = packing.Statistics(np.bincount(t.term, minlength=enc.n_terms), len(ids), int(t.tf.sum()))
+    index, held = packing.Index(t, stats), len(packing.Index(t, stats).doc)
+    monkeypatch.setattr(packing, "BEST", 2)
+    got = list(packing.pack_shard(index, sizes, 512))
+    assert 0 < held and len(index.doc) < 0.1 * held
+    monkeypatch.setattr(packing.Index, "drop", lambda *_: None)
+    monkeypatch.setattr(packing, "BEST", None)
+    assert got == list(packing.pack_shard(packing.Index(t, stats), sizes, 512))
+
+
 def test_packing_follows_the_ranking(spark):
     """The whole order of one shard against a plain greedy search over all pairs."""
     r, enc, path = random.Random(3), ByteEncoder(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path("byte_bpe_50k.json")
