@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 STEP_BYTES = 4 << 20
+#: An estimate of so many bytes, or Spark's own for a table of unknown size.
+HUGE = 1 << 62
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
 
@@ -41,9 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise in the shared folder, so that a lost executor costs no recomputation.
+
+    A checkpoint keeps the plan's estimate of its size, and joins multiply estimates: over rounds of joins of tables with
+    themselves the number's digits triple again and again, until they fill the driver's memory. One too large to say anything is dropped.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint()
+    plan = kept._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() < HUGE:
+        return kept
+    jvm, session = spark._jvm, spark._jsparkSession
+    none = jvm.scala.Option.empty()
+    plan = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

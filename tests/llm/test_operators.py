@@ -863,6 +863,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert connected_components(d.limit(0)).collect() == []
 
 
+def test_components_keep_no_growing_estimates(spark):
+    d = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    labels = connected_components(connected_components(d).toDF("a", "b"))
+    # Each doubling of a path tripled the digits before: the driver's memory was spent on one number.
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 500
+    assert {(r.node, r.label) for r in labels.collect()} == {(k, 0) for k in range(41)}
+
+
 def test_token_encoders_equal_the_library():
     for name, make in (("word_bpe_49k.json", WordEncoder), ("byte_bpe_50k.json", ByteEncoder)):
         path = public_tokenizers.path(name)
