@@ -623,8 +623,10 @@ def stress_decisions(spark, sf_dir):
 @query(_final_sql(_TARGETS, "LEFT JOIN (SELECT doc_id, start, candidates[2] AS sig FROM targets WHERE k % 3 = 0) x ON x.doc_id = fin.doc_id AND x.start = fin.start", "x.sig IS NOT NULL", "token_model", C.plain_sql("fin.word", "CAST(x.sig AS INT)")))
 def stress_choices(spark, sf_dir):
     """All tiers with a token classifier's choices: by rule, the second candidate of one word in three."""
-    choices = _targets(spark, sf_dir).where("k % 3 = 0").select("doc_id", "start", F.get("candidates", F.lit(1)).alias("sig"))
-    return _plain_rows(_engine(spark, sf_dir).tokens(C.documents(spark, sf_dir), choices=choices))
+    engine, docs = _engine(spark, sf_dir), C.documents(spark, sf_dir)
+    decided = engine.words(docs)
+    choices = tiers.open_words(docs, decided).where("k % 3 = 0").select("doc_id", "start", F.get("candidates", F.lit(1)).alias("sig"))
+    return _plain_rows(engine.tokens(docs, choices=choices, decided=decided))
 
 
 @query(

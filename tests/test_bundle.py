@@ -116,6 +116,21 @@ def test_answers_of_models(spark, bundle):
     assert t.count() == 7 and "Window" not in plan(t)
 
 
+def test_tokens_are_not_shuffled_to_meet_answers(spark, bundle):
+    """Far and equal places, null and repeated ids and null starts meet as a join by place would have it; words come from texts after the shuffle."""
+    engine = StressEngine.open(spark, str(bundle))
+    long = "мова " * 900 + "замок"
+    docs = spark.createDataFrame([(1, long), (1, "замок"), (None, "мова замок"), (3, ""), (4, None)], "doc_id int, text string")
+    choices = spark.createDataFrame([(1, 4500, "1"), (1, 0, "1"), (None, 5, "1"), (None, None, "1"), (9, 0, "1"), (1, 4500, "1")], "doc_id int, start long, sig string")
+    t = engine.tokens(docs, choices=choices)
+    got = sorted((r.doc_id or 0, r.start, r.output_text) for r in t.where("text = 'замок'").collect())
+    assert got == [(0, 5, "замо́к"), (1, 0, "замо́к"), (1, 4500, "замо́к")] and t.count() == 904
+    physical = t._jdf.queryExecution().executedPlan().toString()
+    assert 0 < physical.index("Generate") < physical.index("Exchange hashpartitioning")
+    again = engine.tokens(docs, choices=choices, decided=engine.words(docs))
+    assert sorted((r.doc_id or 0, r.start, r.output_text) for r in again.collect()) == sorted((r.doc_id or 0, r.start, r.output_text) for r in t.collect())
+
+
 def test_morphology_meets_open_words_only(spark, bundle):
     parses = spark.createDataFrame([(1, 0, 5, "NOUN", "Case=Nom", "Замок"), (1, 6, 10, "NOUN", "Case=Nom", "мова")], "doc_id int, start long, end long, upos string, feats string, text string")
     two = [(["Case=Nom", "upos=NOUN"], [3]), (["Case=Gen", "upos=NOUN"], [1])]
