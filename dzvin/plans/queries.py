@@ -562,8 +562,8 @@ def pair_build(spark, sf_dir):
     return pairs.select("doc_id.doc_id", "doc_id.start", "pos", "sig", "left", "right")
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    t = _targets(spark, sf_dir).select("doc_id", "start", F.posexplode("candidates").alias("pos", "sig"))
+def _scored(targets: DataFrame) -> DataFrame:
+    t = targets.select("doc_id", "start", F.posexplode("candidates").alias("pos", "sig"))
     return t.withColumn("score", ((F.col("doc_id") * 7 + F.col("start") * 3 + F.col("pos") * 5) % 11).cast("double"))
 
 
@@ -575,7 +575,7 @@ _SCORED = "scored AS (SELECT doc_id, start, CAST(i - 1 AS INT) AS pos, candidate
     "SELECT doc_id, start, sig, coalesce(score - nxt, 0) AS margin, CASE WHEN coalesce(score - nxt, 0) >= 2 THEN 'selected' ELSE 'low_margin' END AS decision FROM o WHERE rn = 1"
 )
 def rank_margin(spark, sf_dir):
-    return scoring.rank(_scored(spark, sf_dir), 2.0).select("doc_id", "start", "sig", "margin", "decision")
+    return scoring.rank(_scored(_targets(spark, sf_dir)), 2.0).select("doc_id", "start", "sig", "margin", "decision")
 
 
 @query(f"{_CLS}, {_TARGETS}, seen AS (SELECT lower(word) AS form FROM tokens GROUP BY 1 HAVING count(*) >= 10) SELECT doc_id, start, form FROM targets WHERE form IN (SELECT form FROM seen)")
@@ -590,7 +590,7 @@ def token_gate(spark, sf_dir):
     "SELECT doc_id, start, sig, round(e / sum(e) OVER (PARTITION BY doc_id, start), 6) AS p FROM e"
 )
 def softmax(spark, sf_dir):
-    m = _scored(spark, sf_dir).groupBy("doc_id", "start").agg(F.map_from_entries(F.collect_list(F.struct("sig", "score"))).alias("m"))
+    m = _scored(_targets(spark, sf_dir)).groupBy("doc_id", "start").agg(F.map_from_entries(F.collect_list(F.struct("sig", "score"))).alias("m"))
     return m.select("doc_id", "start", F.explode(T.softmax(F.col("m"))).alias("sig", "p")).select("doc_id", "start", "sig", F.round("p", 6).alias("p"))
 
 
@@ -616,8 +616,10 @@ def _plain_rows(t: DataFrame) -> DataFrame:
 @query(_final_sql(f"{_TARGETS}, {_SCORED}, {_RANKED}", "LEFT JOIN best x ON x.doc_id = fin.doc_id AND x.start = fin.start", "x.sure", "stressed", C.plain_sql("fin.word", "CAST(x.sig AS INT)")))
 def stress_decisions(spark, sf_dir):
     """All tiers with a cross-encoder's decisions, from scores by rule."""
-    decisions = scoring.rank(_scored(spark, sf_dir), 2.0)
-    return _plain_rows(_engine(spark, sf_dir).tokens(C.documents(spark, sf_dir), decisions=decisions))
+    engine, docs = _engine(spark, sf_dir), C.documents(spark, sf_dir)
+    decided = engine.words(docs)
+    decisions = scoring.rank(_scored(tiers.open_words(docs, decided)), 2.0)
+    return _plain_rows(engine.tokens(docs, decisions=decisions, decided=decided))
 
 
 @query(_final_sql(_TARGETS, "LEFT JOIN (SELECT doc_id, start, candidates[2] AS sig FROM targets WHERE k % 3 = 0) x ON x.doc_id = fin.doc_id AND x.start = fin.start", "x.sig IS NOT NULL", "token_model", C.plain_sql("fin.word", "CAST(x.sig AS INT)")))

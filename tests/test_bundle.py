@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from dzvin import AssetError, Lexicon, SpeechFrontend, StressEngine
+from dzvin.operators import scoring, tiers
 from dzvin.operators.morphology import morphology_tier
 from dzvin.operators.tokens import running_sums, word_tokens
+from dzvin.plans import queries
 from dzvin.sources import archive
 
 HEAD = "dataset_id,form_normalized,stressed_form,stress_signature,lemma_normalized,stressed_lemma,part_of_speech,grammatical_tags,lexeme_id,word_form_id,is_lemma,is_variant,is_obsolete,confidence,source_rank"
@@ -131,6 +133,18 @@ def test_tokens_are_not_shuffled_to_meet_answers(spark, bundle):
     assert sorted((r.doc_id or 0, r.start, r.output_text) for r in again.collect()) == sorted((r.doc_id or 0, r.start, r.output_text) for r in t.collect())
 
 
+def test_queries_with_answers_decide_words_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries.C, "build_lexicon", lambda rows, f=queries.C.build_lexicon: made.append("lexicon") or f(rows))
+    monkeypatch.setattr(tiers, "classify_words", lambda *a, f=tiers.classify_words: made.append("words") or f(*a))
+    t = queries.QUERIES["stress_decisions"](spark, "/root/testdata/sf0.001")
+    assert sorted(made) == ["lexicon", "words"]
+    scored = spark.createDataFrame([(1, 0, 0, "0", 1.0), (1, 0, 1, "1", 4.0)], "doc_id int, start long, pos int, sig string, score double")
+    ranked = scoring.rank(scored, 2.0)
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.sig, r.margin, r.decision) for r in ranked.collect()] == [("1", 3.0, "selected")] and "decision" not in t.columns
+
+
 def test_morphology_meets_open_words_only(spark, bundle):
     parses = spark.createDataFrame([(1, 0, 5, "NOUN", "Case=Nom", "Замок"), (1, 6, 10, "NOUN", "Case=Nom", "мова")], "doc_id int, start long, end long, upos string, feats string, text string")
     two = [(["Case=Nom", "upos=NOUN"], [3]), (["Case=Gen", "upos=NOUN"], [1])]
